@@ -146,7 +146,7 @@ def text_quality(c: Column) -> Column:
     """0 to 1: readable words, lines of a fair length, few marks of a bad scan."""
     words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
     good = F.size(F.filter(words, lambda w: w.rlike(r"^[A-Za-z0-9$.,%-]+$")))
-    lines = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(c, "\n"), lambda s: F.trim(s)), lambda s: s != "")
     mean = F.aggregate(lines, F.lit(0), lambda acc, s: acc + F.length(s)) / F.greatest(F.lit(1), F.size(lines))
     bad = F.least(F.lit(0.3), F.regexp_count(c, F.lit("[|§¦¨©«»°±²³]")) / F.length(c))
     score = good / F.greatest(F.lit(1), F.size(words)) * 0.6 + F.least(F.lit(1.0), mean / 50) * 0.4 - bad
