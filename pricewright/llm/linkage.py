@@ -35,6 +35,8 @@ AGAINST, ABSTAIN, MATCH = 0, 1, 2
 #: The labelling functions; the last only ever votes against.
 FUNCTIONS = ["prefix", "digits", "size", "finish", "weight", "type", "price", "goods"]
 UNIPOLAR = {"goods"}
+#: Functions are better than chance: none votes against more matches than this.
+MOST_WRONG = 0.15
 _D = "[0-9OILSBGZ]"
 
 
@@ -174,6 +176,8 @@ def _tables(counts: dict[tuple[int, ...], float], soft: dict[tuple[int, ...], fl
             total = n.get((y, up, AGAINST), 0.0) + n.get((y, up, MATCH), 0.0) + 1.0
             for x in (AGAINST, MATCH):
                 table[y, up, x] = (n.get((y, up, x), 0.0) + 0.5) / total
+            if y and table[y, up, AGAINST] > MOST_WRONG:
+                table[y, up, AGAINST], table[y, up, MATCH] = MOST_WRONG, 1 - MOST_WRONG
             if name in UNIPOLAR and y:
                 # A function that only votes against never does for a match.
                 table[y, up, AGAINST] = 1e-4
@@ -229,7 +233,9 @@ def _tree(counts: dict[tuple[int, ...], float], soft: dict[tuple[int, ...], floa
 def fit(counts: dict[tuple[int, ...], float], most: float = 0.5, functions: list[str] = FUNCTIONS, rounds: int = 60, least: float = 0.01) -> LabelModel:
     """Expectation maximisation from a majority vote, first with independent
     functions, then along the tree of the dependences found. most: the share of
-    pairs that can be matches, where a record has one counterpart at most."""
+    pairs that can be matches, where a record has one counterpart at most. The
+    share of matches is sought between four fifths of it and all of it: where votes are
+    independent of each other, only that tells matches from coincidence."""
     k = len(functions)
     soft = {}
     for v in counts:
@@ -241,18 +247,20 @@ def fit(counts: dict[tuple[int, ...], float], most: float = 0.5, functions: list
     for r in range(rounds):
         if r == rounds // 2:
             parent = _tree(counts, soft, k, least)
-        prior = min(most, max(1e-4, sum(c * soft[v] for v, c in counts.items()) / total))
+        prior = min(most, max(0.8 * most, sum(c * soft[v] for v, c in counts.items()) / total))
         model = LabelModel(prior, parent, _tables(counts, soft, parent, functions))
         soft = {v: model.posterior(v) for v in counts}
     return model
 
 
-def link(listings: DataFrame, products: DataFrame, least: float = 0.5) -> DataFrame:
-    """(listing_id, sku, confidence): for each listing the product it offers, if
-    its confidence is enough. What it names of prefix, size and finish must be
-    the product's; of several that are left, the likeliest comes first, then
-    the nearest price. Where neither a size nor a price tells several apart,
-    none is chosen.
+def link(listings: DataFrame, products: DataFrame, least: float = 0.1) -> DataFrame:
+    """(listing_id, sku, confidence): for each listing the product it offers.
+
+    What the listing names of prefix, size and finish must be the product's; as
+    that is checked exactly, a low confidence is enough, which turns down what
+    merely looks alike. Of several products that are left, the likeliest comes
+    first, or the one of the nearest price where the size is left out. Where
+    neither a size nor a price tells several apart, none is chosen.
 
     Listings without a readable model, prices that are null, empty tables and
     repeated rows are fine: they give no row, abstain, nothing, and one row."""
@@ -269,7 +277,9 @@ def link(listings: DataFrame, products: DataFrame, least: float = 0.5) -> DataFr
     exact = F.lit(True)
     for f in ("prefix", "size", "finish"):
         exact = exact & (F.substring("votes", at[f], 1) != str(AGAINST))
-    score = F.struct((-F.round("confidence", 6)).alias("c"), F.coalesce("off", F.lit(1e9)).alias("off"), "sku")
-    best = fit_.where(exact).groupBy("listing_id").agg(F.min(score).alias("b"), F.min("sku").alias("lo"), F.max("sku").alias("hi"), F.bool_or(F.substring("votes", at["size"], 1) == str(MATCH)).alias("sized"))
+    sized = F.substring("votes", at["size"], 1) == str(MATCH)
+    conf, off = -F.round("confidence", 6), F.coalesce("off", F.lit(1e9))
+    score = F.struct(F.when(sized, conf).otherwise(off).alias("first"), F.when(sized, off).otherwise(conf).alias("then"), "sku", conf.alias("c"), off.alias("off"))
+    best = fit_.where(exact).groupBy("listing_id").agg(F.min(score).alias("b"), F.min("sku").alias("lo"), F.max("sku").alias("hi"), F.bool_or(sized).alias("sized"))
     best = best.where((F.col("b.off") < 1e9) | (F.col("lo") == F.col("hi")) | F.col("sized"))
     return best.select("listing_id", F.col("b.sku").alias("sku"), (-F.col("b.c")).alias("confidence"))
