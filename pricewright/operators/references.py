@@ -17,11 +17,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewright.runtime import arrow_map
+from pricewright.runtime import arrow_map, partitions
 
 #: Keys per range: the most elements an array can have.
 WIDTH = 1 << 14
 
+#: Tags hold the number of a reference times this, plus year and month.
+_MONTHS = 10_000_000
+#: Most parent tables and most tasks of a range; together they number the slots.
+_PARENTS, _SALTS = 8, 512
+
 _OUT = "ref_no int, record_id bigint, kind string, month int"
 
 
@@ -65,11 +70,14 @@ def _parents(tables: dict[str, DataFrame], deleted: DataFrame, names: list[tuple
 
 
 def _probe(batches: Iterator) -> Iterator:
-    """Probe references against the arrays of their range; see the module text."""
+    """Probe references against the arrays of their slot. Columns: slot, tag
+    (-1: arrays; else number of the reference and month), key, record_id, t and
+    blob. A row of arrays has the lengths of its ids and its deleted ids in key
+    and record_id, and ids, times and deleted ids one after the other in blob."""
     import numpy as np
     import pyarrow as pa
 
-    at: tuple | None = None
+    at: int | None = None
     ids = times = gone = np.empty(0, "int64")
 
     def has(keys, sorted_):
@@ -82,34 +90,29 @@ def _probe(batches: Iterator) -> Iterator:
         n = b.num_rows
         if not n:
             continue
-        col = {name: b.column(i) for i, name in enumerate(b.schema.names)}
-        num = {k: col[k].fill_null(0).to_numpy(zero_copy_only=False) for k in ("parent_no", "range", "salt", "ref_no", "key", "record_id")}
-        t = col["t"].fill_null(2**62).to_numpy(zero_copy_only=False)
-        is_array = num["ref_no"] < 0
-        cuts = np.flatnonzero((np.diff(num["parent_no"]) != 0) | (np.diff(num["range"]) != 0) | (np.diff(num["salt"]) != 0)) + 1
+        slot, tag, key, record, t = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        cuts = np.flatnonzero(np.diff(slot)) + 1
         found: list[tuple] = []
         for lo, hi in zip([0, *cuts], [*cuts, n]):
-            where = (num["parent_no"][lo], num["range"][lo], num["salt"][lo])
-            if where != at:
-                at, ids, times, gone = where, *[np.empty(0, "int64")] * 3
-            if is_array[lo]:
-                ids, times, gone = (np.asarray(col[c][int(lo)].values.to_numpy(zero_copy_only=False), "int64") for c in ("ids", "times", "gone"))
+            if slot[lo] != at:
+                at, ids, times, gone = slot[lo], *[np.empty(0, "int64")] * 3
+            if tag[lo] < 0:
+                blob, m = np.asarray(b.column(5)[int(lo)].values.to_numpy(zero_copy_only=False), "int64"), int(key[lo])
+                ids, times, gone = blob[:m], blob[m : 2 * m], blob[2 * m :]
                 lo += 1
             if lo == hi:
                 continue
-            keys = num["key"][lo:hi]
+            keys = key[lo:hi]
             there, k = has(keys, ids)
             late = there & (times[k] > t[lo:hi]) if len(ids) else there
             miss = np.flatnonzero(late | ~there)
             if len(miss):
                 logged, _ = has(keys[miss], gone)
-                kind = np.where(late[miss], 0, np.where(logged, 1, 2))
-                found.append((num["ref_no"][lo:hi][miss], num["record_id"][lo:hi][miss], kind, miss + lo))
+                found.append((tag[lo:hi][miss], record[lo:hi][miss], np.where(late[miss], 0, np.where(logged, 1, 2))))
         if found:
-            ref, rec, kind, row = (np.concatenate(x) for x in zip(*found))
-            words = np.array(["late", "deleted", "missing"], dtype=object)[kind]
+            tags, rec, kind = (np.concatenate(x) for x in zip(*found))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ref, pa.int32()), pa.array(rec, pa.int64()), pa.array(words, pa.string()), col["month"].take(pa.array(row)).cast(pa.int32())],
+                [pa.array(tags // _MONTHS, pa.int32()), pa.array(rec, pa.int64()), pa.array(np.array(["late", "deleted", "missing"], dtype=object)[kind], pa.string()), pa.array(tags % _MONTHS, pa.int32())],
                 names=["ref_no", "record_id", "kind", "month"],
             )
 
@@ -140,28 +143,26 @@ def orphans(tables: dict[str, DataFrame], deleted: DataFrame, references: list[R
             (F.year(r.child_time) * 100 + F.month(r.child_time)).alias("month"),
         )
         refs = d if refs is None else refs.unionByName(d)
-    spark = refs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if len(names) > _PARENTS:
+        raise ValueError(f"more than {_PARENTS} parent tables")
+    parts = partitions(refs.sparkSession)
     # Ranges with more references than a quarter of a fair share get more than
     # one task; there can't be more than 4 x parts of them, so this is small.
-    load = refs.groupBy("parent_no", "range").count()
-    fair = load.agg((F.sum("count") / (4 * parts)).alias("fair"))
-    split = (
-        load.join(F.broadcast(fair), F.col("count") > F.col("fair"))
-        .select("parent_no", "range", F.least(F.ceil(F.col("count") / F.col("fair")), F.lit(4 * parts)).cast("int").alias("salts"))
-    )
-    split = F.broadcast(split)
+    fair = refs.agg((F.count("*") / (4 * parts)).alias("fair"))
+    split = refs.groupBy("parent_no", "range").count().join(F.broadcast(fair), F.col("count") > F.col("fair"))
+    split = F.broadcast(split.select("parent_no", "range", F.least(F.ceil(F.col("count") / F.col("fair")), F.lit(min(_SALTS, 4 * parts))).cast("int").alias("salts")))
     salts = F.coalesce("salts", F.lit(1))
-    refs = refs.join(split, ["parent_no", "range"], "left").withColumn("salt", F.pmod(F.hash("record_id"), salts)).drop("salts")
-    copies = parents.join(split, ["parent_no", "range"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    null = lambda kind: F.lit(None).cast(kind)
-    stream = refs.select("parent_no", "range", "salt", "ref_no", "key", "record_id", "t", "month", *(null("array<bigint>").alias(c) for c in ("ids", "times", "gone"))).unionByName(
-        copies.select("parent_no", "range", "salt", F.lit(-1).alias("ref_no"), null("bigint").alias("key"), null("bigint").alias("record_id"), null("bigint").alias("t"), null("int").alias("month"), "ids", "times", "gone")
-    )
-    placed = stream.repartition(parts, "parent_no", "range", "salt").sortWithinPartitions("parent_no", "range", "salt", "ref_no")
+    slot = lambda salt: ((F.col("range") * _PARENTS + F.col("parent_no")) * _SALTS + salt).cast("bigint").alias("slot")
+    r = refs.join(split, ["parent_no", "range"], "left").select(
+        slot(F.pmod(F.hash("record_id"), salts)), (F.col("ref_no").cast("bigint") * _MONTHS + F.coalesce("month", F.lit(0))).alias("tag"), "key", F.coalesce("record_id", F.lit(0)).alias("record_id"),
+        F.coalesce("t", F.lit(2**62)).alias("t"), F.lit(None).cast("array<bigint>").alias("blob"),
+    )
+    p = parents.join(split, ["parent_no", "range"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    p = p.select(slot(F.col("salt")), F.lit(-1).cast("bigint").alias("tag"), F.size("ids").cast("bigint").alias("key"), F.size("gone").cast("bigint").alias("record_id"), F.lit(0).cast("bigint").alias("t"), F.concat("ids", "times", "gone").alias("blob"))
+    placed = r.unionByName(p).repartition(parts, "slot").sortWithinPartitions("slot", "tag")
     probed = arrow_map(placed, _probe, _OUT)
     label = lambda field: F.element_at(F.array(*(F.lit(getattr(r, field)) for r in references)), F.col("ref_no") + 1)
-    period = F.when(F.col("month").isNull(), "").otherwise(F.format_string("%04d-%02d", F.floor(F.col("month") / 100), F.col("month") % 100))
+    period = F.when(F.col("month") == 0, "").otherwise(F.format_string("%04d-%02d", F.floor(F.col("month") / 100), F.col("month") % 100))
     return probed.distinct().select(label("table_name").alias("table_name"), label("field_name").alias("field_name"), "record_id", "kind", period.alias("period"))
 
 
