@@ -91,9 +91,9 @@ def option_summary(spark: SparkSession, d: str) -> DataFrame:
     own = o.where("product_id is not null").groupBy("product_id").agg(F.count("*").alias("n"))
     p = table(spark, d, "products").select(F.col("id").alias("product_id"), "price_book_id").distinct()
     by_book = p.join(own, "product_id").groupBy("price_book_id").agg(F.sum("n").alias("own_options"))
-    everywhere = F.broadcast(o.where("product_id is null").agg(F.count("*").alias("global_options")))
-    b = table(spark, d, "price_books").select(F.col("id").alias("price_book_id")).distinct()
-    return b.join(by_book, "price_book_id", "left").join(everywhere).select("price_book_id", F.coalesce("own_options", F.lit(0)).alias("own_options"), "global_options")
+    everywhere = F.broadcast(o.where("product_id is null").agg(F.count("*").alias("global_options")).withColumn("one", F.lit(1)))
+    b = table(spark, d, "price_books").select(F.col("id").alias("price_book_id")).distinct().withColumn("one", F.lit(1))
+    return b.join(by_book, "price_book_id", "left").join(everywhere, "one").select("price_book_id", F.coalesce("own_options", F.lit(0)).alias("own_options"), "global_options")
 
 
 @query("SELECT s_nationkey AS key, CASE WHEN c.k IS NULL THEN 'old' ELSE 'both' END AS side FROM (SELECT DISTINCT s_nationkey FROM supplier) s LEFT JOIN (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9000) c ON k = s_nationkey UNION ALL SELECT DISTINCT c_nationkey, 'new' FROM customer WHERE c_acctbal > 9000 AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")

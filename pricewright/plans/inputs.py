@@ -43,11 +43,18 @@ SELECT p_partkey AS line_no, p_partkey % 50 AS page_number,
     ELSE p_name END AS line
 FROM {part}""",
     # A cell grid: tables of at most ten rows and five columns, with blanks below the first column's heads.
-    "cells": """
-SELECT floor(o_orderkey / 10) AS table_id, cast(o_orderkey % 10 AS int) AS row_index, c AS col_index,
-  CASE c WHEN 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'M' || o_custkey ELSE '' END WHEN 1 THEN o_orderpriority WHEN 2 THEN CASE WHEN o_orderkey % 17 = 0 THEN 'call' ELSE cast(cast(o_totalprice AS decimal(12,2)) AS string) END
-    WHEN 3 THEN CASE WHEN o_orderkey % 4 = 0 THEN '-' ELSE '$' || (o_custkey % 900 + 10) END ELSE CASE WHEN o_orderkey % 5 = 0 THEN 'nan' ELSE o_orderstatus END END AS cell
-FROM {orders} CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) cols""",
+    "cells": "\nUNION ALL ".join(
+        f"SELECT floor(o_orderkey / 10) AS table_id, cast(o_orderkey % 10 AS int) AS row_index, {c} AS col_index, {e} AS cell FROM {{orders}}"
+        for c, e in enumerate(
+            [
+                "CASE WHEN o_orderkey % 3 = 0 THEN 'M' || o_custkey ELSE '' END",
+                "o_orderpriority",
+                "CASE WHEN o_orderkey % 17 = 0 THEN 'call' ELSE cast(cast(o_totalprice AS decimal(12,2)) AS string) END",
+                "CASE WHEN o_orderkey % 4 = 0 THEN '-' ELSE '$' || (o_custkey % 900 + 10) END",
+                "CASE WHEN o_orderkey % 5 = 0 THEN 'nan' ELSE o_orderstatus END",
+            ]
+        )
+    ),
     # Words of a scanned page with their places.
     "words": """
 SELECT l_partkey % 500 AS page, l_orderkey * 10 + l_linenumber AS word_no, cast(l_orderkey * 7 % 60 * 12 + l_linenumber % 5 AS int) AS top_, cast(l_suppkey * 13 % 600 AS int) AS left_, l_returnflag || l_linenumber AS word, cast(l_quantity * 2 AS double) AS conf
