@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.functions import keys, normalize, scoring
+from pricewright.functions import classify, keys, normalize, scoring
 from pricewright.operators import grid, lines, lookups, merge, metrics, publish
 from pricewright.plans.inputs import derived, oracle
 from pricewright.runtime import table
@@ -414,3 +414,63 @@ _H = "sha256(concat_ws('|', lower(trim(manufacturer)), lower(trim(family)), lowe
 FROM (SELECT {_H} AS h, base_price, description FROM {oracle('new_edition')}) s LEFT JOIN (SELECT {_H} AS h, base_price, description FROM {oracle('old_edition')}) t ON s.h = t.h""")
 def publish_plan(spark: SparkSession, d: str) -> DataFrame:
     return publish.upsert_plan(derived(spark, d, "new_edition"), derived(spark, d, "old_edition"), ITEMS, ["base_price", "description"], "pos")
+
+
+# --- classification, contracts, learned patterns ------------------------------
+
+_SCORES = ", ".join("(" + " + ".join(f"regexp_matches(t, '(?i){p}')::int" for p in ps) + f") / {len(ps)} AS s_{k}" for k, ps in classify.PATTERNS.items())
+_TOTAL = " + ".join(f"s_{k}" for k in classify.PATTERNS)
+_SIGNS = "((s_data_table > 0.3)::int + priced + marked + (density > 3)::int)"
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, {_SCORES}, regexp_matches(t, '{classify.PRICE}')::int AS priced, regexp_matches(t, '{classify.MARKER}')::int AS marked,
+  CASE WHEN length(t) = 0 THEN 0.0 ELSE len(list_filter(regexp_split_to_array(t, '[ \\t\\n\\r\\x0B\\f]+'), lambda w: w <> '')) / len(string_split(t, chr(10))) END AS density FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+SELECT doc_id, CASE {" ".join(f"WHEN s_{k} > {x} THEN '{k}'" for k, x in classify.LADDER)} WHEN {_SIGNS} >= 2 THEN 'data_table' WHEN {_TOTAL} > 0.5 THEN 'mixed' ELSE 'unknown' END AS kind,
+  round(CASE {" ".join(f"WHEN s_{k} > {x} THEN s_{k}" for k, x in classify.LADDER)} WHEN {_SIGNS} >= 2 THEN least(1.0, s_data_table + 0.2 * priced + 0.2 * marked + least(density / 10, 0.3)) WHEN {_TOTAL} > 0.5 THEN ({_TOTAL}) / 6 ELSE 0.1 END, 6) AS confidence FROM s"""
+)
+def page_classes(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "documents").select("doc_id", classify.page_class(F.col("text")).alias("c"))
+    return c.select("doc_id", "c.kind", F.round("c.confidence", 6).alias("confidence"))
+
+
+CONTRACT = publish.TableRule(
+    "pricing_row", ("sku",),
+    {
+        "sku": publish.FieldRule(required=True, pattern="^[A-Z0-9]+[_ ][A-Z]{2}[_ ][A-Z0-9]+[_ ][0-9]+$"), "finish": publish.FieldRule(required=True, among=("NK", "BZ", "GR", "AL")),
+        "length": publish.FieldRule(number=True, low=70, high=125), "base_price": publish.FieldRule(required=True, number=True, low=100, high=1800),
+    },
+)
+
+
+@query(
+    """SELECT violation, count(*) AS n FROM (
+  SELECT 'sku:missing' AS violation FROM select_products_enhanced WHERE coalesce(trim(sku), '') = '' UNION ALL SELECT 'sku:pattern' FROM select_products_enhanced WHERE trim(sku) <> '' AND NOT regexp_matches(sku, '^[A-Z0-9]+[_ ][A-Z]{2}[_ ][A-Z0-9]+[_ ][0-9]+$')
+  UNION ALL SELECT 'finish:missing' FROM select_products_enhanced WHERE coalesce(trim(finish), '') = '' UNION ALL SELECT 'finish:value' FROM select_products_enhanced WHERE trim(finish) <> '' AND finish NOT IN ('NK', 'BZ', 'GR', 'AL')
+  UNION ALL SELECT 'length:number' FROM select_products_enhanced WHERE trim(length) <> '' AND try_cast(length AS DOUBLE) IS NULL UNION ALL SELECT 'length:low' FROM select_products_enhanced WHERE try_cast(length AS DOUBLE) < 70 UNION ALL SELECT 'length:high' FROM select_products_enhanced WHERE try_cast(length AS DOUBLE) > 125
+  UNION ALL SELECT 'base_price:missing' FROM select_products_enhanced WHERE base_price IS NULL UNION ALL SELECT 'base_price:low' FROM select_products_enhanced WHERE base_price < 100 UNION ALL SELECT 'base_price:high' FROM select_products_enhanced WHERE base_price > 1800) GROUP BY 1"""
+)
+def contract_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of option sheets against the declared row contract."""
+    return publish.violation_counts(table(spark, d, "select_products_enhanced"), CONTRACT)
+
+
+@query("SELECT manufacturer, pattern, count(*) AS skus FROM (SELECT manufacturer, '^' || regexp_replace(upper(trim(sku)), '\\d+', '\\\\d+', 'g') || '$' AS pattern FROM (SELECT DISTINCT lower(manufacturer) AS manufacturer, sku FROM hager_products WHERE sku IS NOT NULL)) GROUP BY 1, 2")
+def learned_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns the makers' skus generalise to, with how many skus teach them."""
+    s = table(spark, d, "hager_products").where("sku is not null").select(F.lower("manufacturer").alias("manufacturer"), "sku").distinct()
+    return s.groupBy("manufacturer", normalize.pattern_of(F.upper(F.trim("sku"))).alias("pattern")).agg(F.count("*").alias("skus"))
+
+
+@query("SELECT word, count(*) AS n, count(DISTINCT id) AS products FROM (SELECT DISTINCT id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(description), '\\s+'), lambda w: length(w) > 3))) AS word FROM products) GROUP BY 1")
+def learned_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """Words of descriptions and how many products have them."""
+    w = table(spark, d, "products").select("id", F.explode(normalize.keywords(F.col("description"))).alias("word")).distinct()
+    return w.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("id").alias("products"))
+
+
+@query()
+def scan_fixes(spark: SparkSession, d: str) -> DataFrame:
+    """Words of extracted descriptions after the scan rules, which look around."""
+    e = table(spark, d, "sample_products_export").where("description is not null")
+    return e.select("export_id", classify.scan_fixes(F.col("description"), F.coalesce("confidence", F.lit(0.0))).alias("x")).select("export_id", "x.text", F.round("x.confidence", 6).alias("confidence"))
