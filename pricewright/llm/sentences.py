@@ -28,13 +28,17 @@ INCH = "\ue004"  # an inch mark
 
 # Abbreviations that never end a sentence.
 BEFORE = [
-    "p", "pp", "S", "No", "Nr", "Nos", "Fig", "Figs", "Tbl", "Tab", "Vol", "Mk", "Rev", "Mfr", "Std", "Sec", "Ch", "Ed", "Eq", "Pt", "Art", "App",
+    "p", "pp", "S", "Nr", "Fig", "Figs", "Tbl", "Vol", "Mk", "Rev", "Mfr", "Std", "Sec",
     "Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Sept", "Oct", "Nov", "Dec", "cf", "vs", "viz", "approx", "ca", "incl", "excl", "inkl", "exkl",
-    "Mr", "Mrs", "Ms", "Dr", "Prof", "St", "Messrs", "Gen", "Sr", "Sra", "Srta", "Mme", "Mlle", "MM",
-    "Abb", "Kap", "Abs", "Vgl", "vgl", "bzw", "zzgl", "zzgl", "Bd", "Hr", "Fr", "Hrsg", "evtl", "ggf", "sog", "max", "min", "env", "réf", "Réf", "ref", "Ref", "art", "fig",
-    "aprox", "núm", "Núm", "pág", "págs", "Pág", "cap", "стр", "рис", "Рис", "табл", "гл", "сов", "ул", "सं", "रु", "डॉ", "श्री",
+    "Mr", "Mrs", "Ms", "Dr", "Prof", "St", "Messrs", "Gen", "Sr", "Sra", "Srta", "Mme", "Mlle",
+    "Abb", "Kap", "Abs", "Vgl", "vgl", "bzw", "zzgl", "Bd", "Hr", "Fr", "Hrsg", "evtl", "ggf", "sog", "réf", "Réf", "ref", "Ref", "fig",
+    "aprox", "núm", "Núm", "pág", "págs", "Pág", "стр", "рис", "Рис", "табл", "гл", "сов", "ул", "सं", "रु", "डॉ", "श्री",
 ]
 
+# Words that are abbreviations only before a number, a numeral
+# or a letter that names something.
+NUMBERED = ["Ch", "Ed", "Eq", "Pt", "Art", "App", "Tab", "max", "min", "env", "art", "cap", "No", "Nos"]
+
 # Abbreviations, units mostly, that may end a sentence: a capital
 # or an opening after them starts the next one, small letters do not.
 MAYBE = [
@@ -101,6 +105,8 @@ def _masked(block: Column) -> Column:
     t = _rx(t, rf"{edge}(?=(?:{_parts(TWO_MAYBE).replace(chr(92) + '.', f'[.{DOT}]')})[.{DOT}])([\p{{L}}\p{{M}}]+)[.{DOT}](\s?[^.{DOT}]+)[.{DOT}](?!{_WS}+(?:\p{{Lu}}|[¿¡]))", f"$1{DOT}$2{DOT}")
     before = "|".join(sorted(set(BEFORE), key=len, reverse=True))
     t = _rx(t, rf"\.(?<=(?<![\p{{L}}\p{{M}}\p{{N}}{DOT}])(?:{before})\.)", DOT)
+    numbered = "|".join(NUMBERED)
+    t = _rx(t, rf"\.(?<=(?<![\p{{L}}\p{{M}}\p{{N}}{DOT}])(?:{numbered})\.)(?={_WS}+(?:\p{{Lu}}*\d|[IVXLC]+\b|(?![AI]\b)\p{{Lu}}\b))", DOT)
     # см. is "see", but centimetres after a number.
     t = _where(t, "[сС]м\\.", lambda x: _rx(x, rf"(?<![\p{{L}}\d])(?<!\d{_WS})(см|См)\.", rf"$1{DOT}"))
     # Units end a sentence only before what can start one.
@@ -112,7 +118,7 @@ def _masked(block: Column) -> Column:
     # Ordinals, as in the 3. of March or the 27. edition.
     t = _rx(
         t,
-        rf"\.(?<=\d\.)(?:(?<=\b(?:am|Am|dem|Dem|den|Den|der|Der|des|die|Die|das|Das|im|Im|vom|Vom|zum|Zum|zur|beim|bis|Bis|ab|Ab|seit|Seit|jeder|und){_WS}\d{{1,3}}\.)(?={_WS}+\p{{L}})"
+        rf"\.(?<=\d\.)(?:(?<=\b(?:am|Am|dem|Dem|den|Den|der|Der|des|die|Die|das|Das|im|Im|vom|Vom|zum|Zum|zur|beim|bis|Bis|ab|Ab|seit|Seit|jeder){_WS}\d{{1,3}}\.)(?={_WS}+\p{{L}})"
         rf"|(?={_WS}+(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b))",
         DOT,
     )

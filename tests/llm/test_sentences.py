@@ -3,7 +3,7 @@ import pytest
 from pricewright.llm.sentences import sentences
 
 CASES = {
-    "en": ["We shipped 1,515 units of FE7476 in Q3.", "Mfr. Std. 60-2024 governs the barrel.", 'The label says "Do not paint. Keep it dry." in red.', "Cut the shim to 9 in.", "eLatch units need it.", "Is it dry?!", '"Use it first," he wrote, "then check."', "(Refer to p. 9 of Vol. II.)", "See www.example.com/a.b for f.o.b. prices."],
+    "en": ["We shipped 1,515 units of FE7476 in Q3.", "Mfr. Std. 60-2024 governs the barrel.", 'The label says "Do not paint. Keep it dry." in red.', "Cut the shim to 9 in.", "eLatch units need it.", "Is it dry?!", '"Use it first," he wrote, "then check."', "(Refer to p. 9 of Vol. II.)", "It kept its spindle cap.", "A latch may be drilled.", "See www.example.com/a.b for f.o.b. prices."],
     "de": ["Am 3. März 2013 wurde die 27. Auflage gedruckt.", "Das passt z. B. zu Türen, d. h. immer.", "Der Monteur fragte: „Wo ist der Stift?“", "Auf dem Etikett steht: „Nicht bohren. Trocken lagern.“ und die Nummer 58.", "Es kostet 898,22 EUR zzgl. MwSt. je Paar."],
     "fr": ["M. le chef a fini.", "L'étiquette indique : « Ne pas peindre. Garder au sec. » en rouge.", "La goupille est-elle serrée ?", "Voir fig. 69, p. 8 et l'annexe A.", "Le joint, c.-à-d. la pièce 51, se pose."],
     "es": ["¿Está bien?", "¡No taladre!", "El Sr. técnico revisó la pág. 25.", "Dice: «No pintar. Mantener seco.» en rojo."],
