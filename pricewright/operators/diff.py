@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewright.functions.similarity import indel_ratio, upper_bound
+from pricewright.runtime import cut
 
 
 def _text(name: str) -> Column:
@@ -117,7 +118,9 @@ def matches(old: DataFrame, new: DataFrame, fuzzy: bool = True, threshold: float
     old, new = keyed(old), keyed(new)
     exact = exact_matches(old, new)
     ro, rn = residuals(old, new)
-    found = assign(fuzzy_pairs(ro, rn, threshold)) if fuzzy else None
+    # The assignment is read three times below and is small: at most a row per
+    # residual. It is kept, not worked out again.
+    found = cut(assign(fuzzy_pairs(ro, rn, threshold))) if fuzzy else None
     left = ro.join(found.select(F.col("o.pos").alias("pos")), "pos", "left_anti") if fuzzy else ro
     right = rn.join(found.select(F.col("n.pos").alias("pos")), "pos", "left_anti") if fuzzy else rn
     gone = left.select(F.struct(*old.columns).alias("o"), F.lit(None).cast(exact.schema["n"].dataType).alias("n"), F.lit("removed").alias("method"), F.lit(100.0).alias("score"))
