@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from pricewright.functions.keys import SCAN_FROM, SCAN_TO, plain_sku
 from pricewright.operators.snapshots import latest_in_snapshot
+from pricewright.runtime import cut
 
 # Finish codes with their number and name.
 FINISHES = [
@@ -264,7 +265,9 @@ def link(listings: DataFrame, products: DataFrame, least: float = 0.1) -> DataFr
 
     Listings without a readable model, prices that are null, empty tables and
     repeated rows are fine: they give no row, abstain, nothing, and one row."""
-    pairs = candidates(listings, products)
+    # Read three times below, so worked out once; a listing has about as many
+    # pairs as a model has skus.
+    pairs = cut(candidates(listings, products))
     # At most 3 ** functions patterns.
     counts = {tuple(map(int, r.votes)): float(r["count"]) for r in pairs.groupBy("votes").count().collect()}
     # A listing offers one product at most.
