@@ -16,7 +16,6 @@ one chunk, then competes for being the closest. No task holds a whole group.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -70,38 +69,136 @@ def tokens_of(value: str) -> tuple[str, ...]:
     return tuple(_TOKEN.findall(value.casefold()))
 
 
+#: Scores are whole numbers of a unit, so sums of them are exact in any order.
+_ONE = 10**9
+_GAP, _MISS = -4 * _ONE // 10, -6 * _ONE // 10
+#: Alignments of more cells than this run on arrays, row by row.
+_CELLS = 4096
+#: Rows kept at once on the way back through a long alignment.
+_ROWS = 32
+#: Tokens of one block of the edit distance.
+_BLOCK = 8192
+
+
 def _align(columns: list[dict[str, float]], seq: list[dict[str, float]]) -> list[tuple[int, int]]:
     """Needleman-Wunsch of an alignment's columns with a sequence of votes:
     pairs of positions, -1 for a gap. Matching a column scores the share of its
     votes for the tokens; a gap or a mismatch costs."""
     n, m = len(columns), len(seq)
     totals = [sum(c.values()) or 1.0 for c in columns]
-    gap, miss = -0.4, -0.6
-    score = [[0.0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        score[i][0] = gap * i
-    for j in range(1, m + 1):
-        score[0][j] = gap * j
-    for i in range(1, n + 1):
-        col, total, up, row = columns[i - 1], totals[i - 1], score[i - 1], score[i]
-        for j in range(1, m + 1):
-            votes = seq[j - 1]
-            share = sum(col.get(t, 0.0) for t in votes if t) / total
-            row[j] = max(up[j - 1] + (share if share > 0 else miss), up[j] + gap, row[j - 1] + gap)
+    places: dict[str, tuple[list[int], list[float]]] = defaultdict(lambda: ([], []))
+    for j, votes in enumerate(seq):
+        total = sum(votes.values()) or 1.0
+        for t, w in votes.items():
+            if t:
+                places[t][0].append(j)
+                places[t][1].append(w / total)
+    if n * m > _CELLS:
+        return _align_long(columns, totals, seq, dict(places))
+    score, sims = [[_GAP * j for j in range(m + 1)]], []
+    for col, total in zip(columns, totals):
+        share = [0.0] * m
+        for t, w in col.items():
+            if t in places:
+                for j, q in zip(*places[t]):
+                    share[j] += w / total * q
+        sim, up = [round(s * _ONE) if s > 0 else _MISS for s in share], score[-1]
+        row = [left := up[0] + _GAP]
+        for j in range(m):
+            row.append(left := max(up[j] + sim[j], up[j + 1] + _GAP, left + _GAP))
+        score.append(row)
+        sims.append(sim)
     pairs, i, j = [], n, m
     while i or j:
-        if i and j:
-            share = sum(columns[i - 1].get(t, 0.0) for t in seq[j - 1] if t) / totals[i - 1]
-            if abs(score[i][j] - score[i - 1][j - 1] - (share if share > 0 else miss)) < 1e-9:
-                pairs.append((i - 1, j - 1))
-                i, j = i - 1, j - 1
-                continue
-        if i and abs(score[i][j] - score[i - 1][j] - gap) < 1e-9:
-            pairs.append((i - 1, -1))
+        if i and j and score[i][j] == score[i - 1][j - 1] + sims[i - 1][j - 1]:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+        elif i and score[i][j] == score[i - 1][j] + _GAP:
             i -= 1
+            pairs.append((i, -1))
         else:
-            pairs.append((-1, j - 1))
             j -= 1
+            pairs.append((-1, j))
+    return pairs[::-1]
+
+
+def _align_long(columns: list[dict[str, float]], totals: list[float], seq: list[dict[str, float]], places: dict[str, tuple[list[int], list[float]]]) -> list[tuple[int, int]]:
+    """The same alignment as _align's in a band around the diagonals, doubled
+    until no path that leaves it can score as much. Few rows are kept; those
+    between are worked out again on the way back."""
+    import numpy as np
+
+    n, m = len(columns), len(seq)
+    spots = {t: (np.array(js), np.array(qs)) for t, (js, qs) in places.items()}
+    # The most that so many matches can score, by columns and by the sequence.
+    tops = []
+    for votes in (columns, seq):
+        best = sorted((int(max((w for t, w in v.items() if t), default=0.0) / (sum(v.values()) or 1.0) * _ONE) + 2 for v in votes), reverse=True)
+        tops.append(np.concatenate([[0], np.cumsum(np.array(best, "int64"))]))
+    k = 32
+    while True:
+        lo, hi = min(0, m - n) - k, max(0, m - n) + k
+        width = hi - lo + 1
+        ramp = _GAP * np.arange(width, dtype="int64")
+
+        def step(i: int, up: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Row i, whose places are j = i + lo on, from the row before it."""
+            share, at = np.zeros(width), i - 1 + lo  # noqa: B023
+            for t, w in columns[i - 1].items():
+                if t in spots:
+                    js, qs = spots[t]
+                    a, b = np.searchsorted(js, (at, at + width))  # noqa: B023
+                    if a < b:
+                        share[js[a:b] - at] += w / totals[i - 1] * qs[a:b]
+            sim = np.where(share > 0, np.rint(share * _ONE), _MISS).astype("int64")
+            row = up + sim
+            np.maximum(row[:-1], up[1:] + _GAP, out=row[:-1])
+            return np.maximum.accumulate(row - ramp) + ramp, sim  # noqa: B023
+
+        j = np.arange(lo, hi + 1)
+        top = np.where(j >= 0, _GAP * j, -(1 << 60)).astype("int64")
+        row = top
+        for i in range(1, n + 1):
+            row = step(i, row)[0]
+        left = min(n, m) - k - 1  # matches of a path that leaves the band
+        if left < 0 or row[m - n - lo] > min(int(t[left]) for t in tops) + _GAP * (n + m - 2 * left):
+            break
+        k *= 2
+    pairs: list[tuple[int, int]] = []
+
+    def back(top: np.ndarray, i0: int, i: int, j: int) -> int:
+        """From (i, j) back to row i0, which is top; the j reached there."""
+        if i - i0 > _ROWS:
+            part = -(-(i - i0) // _ROWS)
+            starts, kept, row = range(i0, i, part), [top], top
+            for r in range(i0 + 1, starts[-1] + 1):
+                row = step(r, row)[0]
+                if (r - i0) % part == 0:
+                    kept.append(row)
+            for start in reversed(starts):
+                j = back(kept.pop(), start, min(start + part, i), j)
+            return j
+        rows, sims = [top], [top]
+        for r in range(i0 + 1, i + 1):
+            row, sim = step(r, rows[-1])
+            rows.append(row)
+            sims.append(sim)
+        while i > i0:
+            x, up = j - i - lo, rows[i - i0 - 1]
+            here = rows[i - i0][x]
+            if j and here == up[x] + sims[i - i0][x]:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+            elif x + 1 < width and here == up[x + 1] + _GAP:
+                i -= 1
+                pairs.append((i, -1))
+            else:
+                j -= 1
+                pairs.append((-1, j))
+        return j
+
+    j = back(top, 0, n, m)
+    pairs.extend((-1, x) for x in range(j - 1, -1, -1))
     return pairs[::-1]
 
 
@@ -125,24 +222,34 @@ def profile(sequences: list[tuple[tuple[str, ...], float]]) -> tuple[list[str],
 
 
 def distance(a: tuple[str, ...] | list[str], b: tuple[str, ...] | list[str]) -> int:
-    """Edit distance of token sequences."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-#: Token sequences longer than this are compared as their tokens' first this
-#: many, a middle digest and their last this many, so one text can't take a task.
-_LONG = 400
-
-
-def _short(tokens: tuple[str, ...]) -> tuple[str, ...]:
-    if len(tokens) <= 2 * _LONG:
-        return tokens
-    return (*tokens[:_LONG], "\0" + hashlib.md5(" ".join(tokens[_LONG:-_LONG]).encode("utf-8", "surrogatepass")).hexdigest(), *tokens[-_LONG:])
+    """Edit distance of token sequences: Myers' bit vectors over blocks of a,
+    after the common start and end."""
+    start, end, least = 0, 0, min(len(a), len(b))
+    while start < least and a[start] == b[start]:
+        start += 1
+    while end < least - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    steps = [1] * len(b)  # from a column to the next, along the block's upper edge
+    for at in range(0, len(a), _BLOCK):
+        block = a[at : at + _BLOCK]
+        places: dict[str, int] = defaultdict(int)
+        for k, t in enumerate(block):
+            places[t] |= 1 << k
+        last = len(block) - 1
+        full = (1 << len(block)) - 1
+        plus, minus = full, 0
+        for j, t in enumerate(b):
+            eq, into = places.get(t, 0), steps[j]
+            xv = eq | minus
+            if into < 0:
+                eq |= 1
+            xh = (((eq & plus) + plus) ^ plus) | eq
+            up, down = minus | ~(xh | plus) & full, plus & xh & full
+            steps[j] = (up >> last & 1) - (down >> last & 1)
+            up, down = (up << 1 | (into > 0)) & full, (down << 1 | (into < 0)) & full
+            plus, minus = down | ~(xv | up) & full, up & xv
+    return len(a) + sum(steps)
 
 
 _SEP = "\x1f"
@@ -157,7 +264,7 @@ def _consensus(batches: Iterator) -> Iterator:
         for k, (values, ws, tokenised) in enumerate(zip(b.column("vals").to_pylist(), b.column("ws").to_pylist(), b.column("tokenised").to_pylist())):
             seqs: dict[tuple[str, ...], float] = defaultdict(float)
             for v, w in zip(values, ws):
-                seqs[_short(tuple(v.split(_SEP)) if tokenised else tokens_of(v))] += w
+                seqs[tuple(v.split(_SEP)) if tokenised else tokens_of(v)] += w
             tokens, weight = profile(list(seqs.items()))
             keep.append(k)
             texts.append(_SEP.join(tokens))
@@ -172,7 +279,7 @@ def _distances(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for b in batches:
-        far = [distance(_short(tokens_of(v)), c.split(_SEP) if c else []) for v, c in zip(b.column("val").to_pylist(), b.column("consensus").to_pylist())]
+        far = [distance(tokens_of(v), c.split(_SEP) if c else []) for v, c in zip(b.column("val").to_pylist(), b.column("consensus").to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("field"), b.column("val"), b.column("w"), pa.array(far, pa.int32())], names=["grp", "field", "val", "w", "far"])
 
 

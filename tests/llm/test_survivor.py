@@ -1,3 +1,5 @@
+import random
+
 from pricewright.llm import survivor
 
 S = "export_id bigint, sku string, description string, base_price double, finish string, finish_description string, options string, confidence double, grp string, rank int"
@@ -61,3 +63,45 @@ def test_long_values(spark):
     long = "word " * 20_000
     got = survivor.survivors(rows(spark, [row(1, "A", text=long), row(2, "A", text=long + "x"), row(3, "A", text=long)])).first()
     assert got.description == long
+
+
+def test_the_middle_of_long_values_votes(spark):
+    base = [f"w{i}" for i in range(1000)]
+    one, other = list(base), list(base)
+    one[480], other[520] = "x", "y"
+    rubbish = base[:450] + [f"r{i}" for i in range(100)] + base[550:]
+    got = survivor.survivors(rows(spark, [row(1, "A", 0.4, " ".join(one)), row(2, "A", 0.4, " ".join(other)), row(3, "A", 0.5, " ".join(rubbish))])).first()
+    assert got.description in (" ".join(one), " ".join(other))
+
+
+def test_long_alignments_are_the_short_ones(monkeypatch):
+    r = random.Random(5)
+    for n in range(60):
+        words = [str(i) for i in range(r.choice([2, 6, 300]))]
+        base = [r.choice(words) for _ in range(r.randrange(130))]
+        seqs = []
+        for _ in range(3):
+            seq = [r.choice(words) if r.random() < 0.1 else t for t in base if r.random() < 0.9]
+            cut = r.randrange(len(seq) + 1)
+            seqs.append((tuple(seq if n % 3 else seq[cut:] + seq[:cut]), r.choice([0.15, 0.5, 0.95])))
+        monkeypatch.setattr(survivor, "_CELLS", 10**9)
+        short = survivor.profile(seqs)
+        monkeypatch.setattr(survivor, "_CELLS", 0)
+        assert survivor.profile(seqs) == short
+
+
+def test_distance_is_exact(monkeypatch):
+    def plain(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, line[0] = line[0], i
+            for j, y in enumerate(b, 1):
+                last, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, last + (x != y))
+        return line[-1]
+
+    r = random.Random(3)
+    for block in (1, 3, 8192):
+        monkeypatch.setattr(survivor, "_BLOCK", block)
+        for _ in range(300):
+            a, b = ([r.choice("abc") for _ in range(r.randrange(14))] for _ in range(2))
+            assert survivor.distance(a, b) == plain(a, b)
