@@ -9,16 +9,19 @@ the existing value closest to the winning tokens is emitted.
 
 Values are counted per group and field before anything is gathered, so exact
 copies cost nothing. A field with more than CHUNK distinct values in a group
-is aligned in chunks of about that many; the chunks' consensus sequences, with
-the weight they stand for, are aligned again, and every value, not only those of
-one chunk, then competes for being the closest. No task holds a whole group.
+is aligned in chunks of about that many; the chunks' alignments, with all votes
+of their columns, are aligned again, twice, and only then do columns name their
+winners. Every value, not only those of one chunk, then competes for being the
+closest. The last task of a hot group holds the distinct tokens of its columns.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,7 +74,7 @@ def tokens_of(value: str) -> tuple[str, ...]:
 
 #: Scores are whole numbers of a unit, so sums of them are exact in any order.
 _ONE = 10**9
-_GAP, _MISS = -4 * _ONE // 10, -6 * _ONE // 10
+_GAP, _MISS = -0.4, -0.6
 #: Alignments of more cells than this run on arrays, row by row.
 _CELLS = 4096
 #: Rows kept at once on the way back through a long alignment.
@@ -80,10 +83,23 @@ _ROWS = 32
 _BLOCK = 8192
 
 
-def _align(columns: list[dict[str, float]], seq: list[dict[str, float]]) -> list[tuple[int, int]]:
+def _filled_shares(columns: list[dict[str, float]]) -> list[float]:
+    """Of each column, the share of votes that are for a token, not for a gap."""
+    return [1.0 - c.get("", 0) / (sum(c.values()) or 1.0) for c in columns]
+
+
+def _similar(share, a: float, b, pooled: bool):  # noqa: ANN001, ANN202
+    """Score of a pair of columns, of numbers or arrays: the share of votes that
+    agree; if pooled, less what the votes that don't agree cost."""
+    return share + _MISS * (a * b - share) + _GAP * (a + b - 2 * a * b) if pooled else share
+
+
+def _align(columns: list[dict[str, float]], seq: list[dict[str, float]], pooled: bool = False) -> list[tuple[int, int]]:
     """Needleman-Wunsch of an alignment's columns with a sequence of votes:
     pairs of positions, -1 for a gap. Matching a column scores the share of its
-    votes for the tokens; a gap or a mismatch costs."""
+    votes for the tokens; a gap or a mismatch costs. Pooled is for two
+    alignments: all pairs of votes count, so that skipping a column which is
+    mostly gaps costs little."""
     n, m = len(columns), len(seq)
     totals = [sum(c.values()) or 1.0 for c in columns]
     places: dict[str, tuple[list[int], list[float]]] = defaultdict(lambda: ([], []))
@@ -93,19 +109,21 @@ def _align(columns: list[dict[str, float]], seq: list[dict[str, float]]) -> list
             if t:
                 places[t][0].append(j)
                 places[t][1].append(w / total)
+    pa, pb = _filled_shares(columns), _filled_shares(seq)
+    down, along = ([round(_GAP * (x if pooled else 1) * _ONE) for x in p] for p in (pa, pb))
     if n * m > _CELLS:
-        return _align_long(columns, totals, seq, dict(places))
-    score, sims = [[_GAP * j for j in range(m + 1)]], []
-    for col, total in zip(columns, totals):
+        return _align_long(columns, totals, seq, dict(places), pa, pb, down, along, pooled)
+    score, sims = [list(accumulate(along, initial=0))], []
+    for col, total, a, gap in zip(columns, totals, pa, down):
         share = [0.0] * m
         for t, w in col.items():
             if t in places:
                 for j, q in zip(*places[t]):
                     share[j] += w / total * q
-        sim, up = [round(s * _ONE) if s > 0 else _MISS for s in share], score[-1]
-        row = [left := up[0] + _GAP]
+        sim, up = [round((_similar(s, a, b, pooled) if pooled or s > 0 else _MISS) * _ONE) for s, b in zip(share, pb)], score[-1]
+        row = [left := up[0] + gap]
         for j in range(m):
-            row.append(left := max(up[j] + sim[j], up[j + 1] + _GAP, left + _GAP))
+            row.append(left := max(up[j] + sim[j], up[j + 1] + gap, left + along[j]))
         score.append(row)
         sims.append(sim)
     pairs, i, j = [], n, m
@@ -113,7 +131,7 @@ def _align(columns: list[dict[str, float]], seq: list[dict[str, float]]) -> list
         if i and j and score[i][j] == score[i - 1][j - 1] + sims[i - 1][j - 1]:
             i, j = i - 1, j - 1
             pairs.append((i, j))
-        elif i and score[i][j] == score[i - 1][j] + _GAP:
+        elif i and score[i][j] == score[i - 1][j] + down[i - 1]:
             i -= 1
             pairs.append((i, -1))
         else:
@@ -122,7 +140,10 @@ def _align(columns: list[dict[str, float]], seq: list[dict[str, float]]) -> list
     return pairs[::-1]
 
 
-def _align_long(columns: list[dict[str, float]], totals: list[float], seq: list[dict[str, float]], places: dict[str, tuple[list[int], list[float]]]) -> list[tuple[int, int]]:
+def _align_long(
+    columns: list[dict[str, float]], totals: list[float], seq: list[dict[str, float]], places: dict[str, tuple[list[int], list[float]]],
+    pa: list[float], pb: list[float], down: list[int], along: list[int], pooled: bool,
+) -> list[tuple[int, int]]:
     """The same alignment as _align's in a band around the diagonals, doubled
     until no path that leaves it can score as much. Few rows are kept; those
     between are worked out again on the way back."""
@@ -135,11 +156,15 @@ def _align_long(columns: list[dict[str, float]], totals: list[float], seq: list[
     for votes in (columns, seq):
         best = sorted((int(max((w for t, w in v.items() if t), default=0.0) / (sum(v.values()) or 1.0) * _ONE) + 2 for v in votes), reverse=True)
         tops.append(np.concatenate([[0], np.cumsum(np.array(best, "int64"))]))
+    # The least that so many gaps cost.
+    least = [np.concatenate([[0], np.cumsum(np.array(sorted(g, reverse=True), "int64"))]) for g in (down, along)]
+    reach = np.concatenate([[0], np.cumsum(np.array(along, "int64"))])
     k = 32
     while True:
         lo, hi = min(0, m - n) - k, max(0, m - n) + k
         width = hi - lo + 1
-        ramp = _GAP * np.arange(width, dtype="int64")
+        j = np.arange(lo, n + hi + 1)
+        ramps, filled = reach[j.clip(0, m)], np.array(pb)[(j - 1).clip(0, m - 1)]
 
         def step(i: int, up: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Row i, whose places are j = i + lo on, from the row before it."""
@@ -150,18 +175,18 @@ def _align_long(columns: list[dict[str, float]], totals: list[float], seq: list[
                     a, b = np.searchsorted(js, (at, at + width))  # noqa: B023
                     if a < b:
                         share[js[a:b] - at] += w / totals[i - 1] * qs[a:b]
-            sim = np.where(share > 0, np.rint(share * _ONE), _MISS).astype("int64")
-            row = up + sim
-            np.maximum(row[:-1], up[1:] + _GAP, out=row[:-1])
-            return np.maximum.accumulate(row - ramp) + ramp, sim  # noqa: B023
+            sim = _similar(share, pa[i - 1], filled[i : i + width], pooled)  # noqa: B023
+            sim = np.rint((sim if pooled else np.where(share > 0, sim, _MISS)) * _ONE).astype("int64")
+            row, ramp = up + sim, ramps[i : i + width]  # noqa: B023
+            np.maximum(row[:-1], up[1:] + down[i - 1], out=row[:-1])
+            return np.maximum.accumulate(row - ramp) + ramp, sim
 
-        j = np.arange(lo, hi + 1)
-        top = np.where(j >= 0, _GAP * j, -(1 << 60)).astype("int64")
+        top = np.where(j >= 0, ramps, -(1 << 60))[:width].astype("int64")
         row = top
         for i in range(1, n + 1):
             row = step(i, row)[0]
         left = min(n, m) - k - 1  # matches of a path that leaves the band
-        if left < 0 or row[m - n - lo] > min(int(t[left]) for t in tops) + _GAP * (n + m - 2 * left):
+        if left < 0 or row[m - n - lo] > min(int(t[left]) for t in tops) + int(least[0][n - left] + least[1][m - left]):
             break
         k *= 2
     pairs: list[tuple[int, int]] = []
@@ -189,7 +214,7 @@ def _align_long(columns: list[dict[str, float]], totals: list[float], seq: list[
             if j and here == up[x] + sims[i - i0][x]:
                 i, j = i - 1, j - 1
                 pairs.append((i, j))
-            elif x + 1 < width and here == up[x + 1] + _GAP:
+            elif x + 1 < width and here == up[x + 1] + down[i - 1]:
                 i -= 1
                 pairs.append((i, -1))
             else:
@@ -202,23 +227,39 @@ def _align_long(columns: list[dict[str, float]], totals: list[float], seq: list[
     return pairs[::-1]
 
 
-def profile(sequences: list[tuple[tuple[str, ...], float]]) -> tuple[list[str], float]:
-    """Consensus tokens of weighted token sequences, and their total weight.
-    Sequences join the alignment by weight, then length, then text."""
-    order = sorted(sequences, key=lambda s: (-s[1], -len(s[0]), s[0]))
-    columns: list[dict[str, float]] = []
-    done = 0.0
-    for seq, weight in order:
-        votes = [{t: weight} for t in seq]
-        merged: list[dict[str, float]] = []
-        for i, j in _align(columns, votes):
+def merged(profiles: list[tuple[list[dict[str, float]], float]], pooled: bool = True) -> tuple[list[dict[str, float]], float]:
+    """One alignment of several, each its columns' votes and the weight it stands
+    for, joined in the given order. No vote is lost: every column holds the votes
+    of all, a gap's as those for the empty token."""
+    columns, done = profiles[0] if profiles else ([], 0)
+    for other, weight in profiles[1:]:
+        joined: list[dict[str, float]] = []
+        for i, j in _align(columns, other, pooled):
             col = dict(columns[i]) if i >= 0 else {"": done}
-            token = seq[j] if j >= 0 else ""
-            col[token] = col.get(token, 0.0) + weight
-            merged.append(col)
-        columns, done = merged, done + weight
-    winners = (max(sorted(c), key=lambda t: (c[t], t != "")) for c in columns)
-    return [t for t in winners if t], done
+            for t, w in (other[j] if j >= 0 else {"": weight}).items():
+                col[t] = col.get(t, 0) + w
+            joined.append(col)
+        columns, done = joined, done + weight
+    return columns, done
+
+
+def aligned(sequences: list[tuple[tuple[str, ...], float]]) -> tuple[list[dict[str, float]], float]:
+    """The alignment of weighted token sequences and their total weight.
+    Sequences join by weight, then length, then text."""
+    order = sorted(sequences, key=lambda s: (-s[1], -len(s[0]), s[0]))
+    return merged([([{t: weight} for t in seq], weight) for seq, weight in order], pooled=False)
+
+
+def winners(columns: list[dict[str, float]]) -> list[str]:
+    """The tokens with most votes in their columns; ties go to a token before a gap, then to text."""
+    best = (max(sorted(c), key=lambda t: (c[t], t != "")) for c in columns)
+    return [t for t in best if t]
+
+
+def profile(sequences: list[tuple[tuple[str, ...], float]]) -> tuple[list[str], float]:
+    """Consensus tokens of weighted token sequences, and their total weight."""
+    columns, done = aligned(sequences)
+    return winners(columns), done
 
 
 def distance(a: tuple[str, ...] | list[str], b: tuple[str, ...] | list[str]) -> int:
@@ -256,23 +297,30 @@ _SEP = "\x1f"
 
 
 def _consensus(batches: Iterator) -> Iterator:
-    """One consensus per (group, field, chunk) row with arrays of values and weights."""
+    """One alignment per (group, field, chunk) row with arrays of values and
+    weights: texts at the first level, alignments as JSON at the next two; the
+    last gives the winning tokens. Votes are whole millionths, so that their
+    sums don't depend on the chunks."""
     import pyarrow as pa
 
     for b in batches:
-        keep, texts, weights = [], [], []
-        for k, (values, ws, tokenised) in enumerate(zip(b.column("vals").to_pylist(), b.column("ws").to_pylist(), b.column("tokenised").to_pylist())):
-            seqs: dict[tuple[str, ...], float] = defaultdict(float)
-            for v, w in zip(values, ws):
-                seqs[tuple(v.split(_SEP)) if tokenised else tokens_of(v)] += w
-            tokens, weight = profile(list(seqs.items()))
-            keep.append(k)
-            texts.append(_SEP.join(tokens))
+        texts, weights = [], []
+        for values, ws, level in zip(b.column("vals").to_pylist(), b.column("ws").to_pylist(), b.column("level").to_pylist()):
+            if level == 1:
+                seqs: dict[tuple[str, ...], int] = defaultdict(int)
+                for v, w in zip(values, ws):
+                    seqs[tokens_of(v)] += round(w * 1e6)
+                columns, weight = aligned(list(seqs.items()))
+                text = json.dumps(columns, ensure_ascii=False)
+            elif len(values) == 1 and level == 2:
+                text, weight = values[0], ws[0]
+            else:
+                parts = sorted(((json.loads(v), round(w), v) for v, w in zip(values, ws)), key=lambda x: (-x[1], -len(x[0]), x[2]))
+                columns, weight = merged([(c, w) for c, w, _ in parts])
+                text = _SEP.join(winners(columns)) if level == 3 else json.dumps(columns, ensure_ascii=False)
+            texts.append(text)
             weights.append(weight)
-        take = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [b.column("grp").take(take), b.column("field").take(take), b.column("up").take(take), pa.array(texts, pa.string()), pa.array(weights, pa.float64())], names=["grp", "field", "up", "val", "w"]
-        )
+        yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("field"), b.column("up"), pa.array(texts, pa.string()), pa.array(weights, pa.float64())], names=["grp", "field", "up", "val", "w"])
 
 
 def _distances(batches: Iterator) -> Iterator:
@@ -294,17 +342,17 @@ def consensus_values(values: DataFrame) -> DataFrame:
     chunks = lambda size: F.greatest(F.lit(1), F.ceil(F.col("n") / size)).cast("int")
     first, second = chunks(CHUNK), chunks(CHUNK * CHUNK)
     h = F.pmod(F.xxhash64("val"), first)
-    level = many.select("grp", "field", "val", "w", h.alias("at"), F.pmod(h, second).alias("up"), F.lit(False).alias("tokenised"))
+    level = many.select("grp", "field", "val", "w", h.alias("at"), F.pmod(h, second).alias("up"), F.lit(1).alias("level"))
     kind = "grp string, field string, up bigint, val string, w double"
 
     def gather(d: DataFrame, key: list[str]) -> DataFrame:
         votes = F.array_sort(F.collect_list(F.struct("val", "w")))
-        g = d.groupBy("grp", "field", *key, "tokenised").agg(votes.alias("v"))
-        return g.select("grp", "field", (F.col("up") if "up" in key else F.lit(0)).cast("bigint").alias("up"), F.col("v.val").alias("vals"), F.col("v.w").alias("ws"), "tokenised")
+        g = d.groupBy("grp", "field", *key, "level").agg(votes.alias("v"))
+        return g.select("grp", "field", (F.col("up") if "up" in key else F.lit(0)).cast("bigint").alias("up"), F.col("v.val").alias("vals"), F.col("v.w").alias("ws"), "level")
 
     l1 = arrow_map(gather(level, ["at", "up"]), _consensus, kind)
-    l2 = arrow_map(gather(l1.withColumn("tokenised", F.lit(True)), ["up"]), _consensus, kind)
-    l3 = arrow_map(gather(l2.withColumn("tokenised", F.lit(True)), []), _consensus, kind)
+    l2 = arrow_map(gather(l1.withColumn("level", F.lit(2)), ["up"]), _consensus, kind)
+    l3 = arrow_map(gather(l2.withColumn("level", F.lit(3)), []), _consensus, kind)
     agreed = l3.select("grp", "field", F.col("val").alias("consensus"))
     near = arrow_map(many.select("grp", "field", "val", "w").join(agreed, ["grp", "field"]), _distances, "grp string, field string, val string, w double, far int")
     best = near.groupBy("grp", "field").agg(F.min(F.struct("far", (-F.col("w")).alias("neg"), "val")).alias("best"))

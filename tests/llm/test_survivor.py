@@ -105,3 +105,38 @@ def test_distance_is_exact(monkeypatch):
         for _ in range(300):
             a, b = ([r.choice("abc") for _ in range(r.randrange(14))] for _ in range(2))
             assert survivor.distance(a, b) == plain(a, b)
+
+
+def test_minority_votes_of_chunks_count(spark):
+    # 320 values are five chunks: "yes" wins three of them by 33 to 31, "no" has all of the other two.
+    from pyspark.sql import functions as F
+
+    texts = [(f"alpha {word} beta u{i}", word) for i in range(2000) for word in ("yes", "no")]
+    want = {(c, w): n for c in range(5) for w, n in ((("yes", 33), ("no", 31)) if c < 3 else (("no", 64),))}
+    taken = []
+    for r in spark.createDataFrame(texts, "val string, word string").select("val", "word", F.pmod(F.xxhash64("val"), F.lit(5)).alias("at")).collect():
+        if want.get((r["at"], r.word), 0) > 0:
+            want[r["at"], r.word] -= 1
+            taken.append(r.val)
+    assert len(taken) == 320
+    got = survivor.survivors(rows(spark, [row(i, "A", 0.5, v) for i, v in enumerate(taken)])).first()
+    assert got.description.startswith("alpha no beta")
+
+
+def test_merging_alignments_keeps_all_votes():
+    parts = [survivor.aligned([(("a", "x", "c"), 51), (("a", "y", "c"), 49)]), survivor.aligned([(("a", "y", "c"), 60), (("a", "c"), 40)])]
+    assert survivor.merged(parts) == ([{"a": 200}, {"x": 51, "y": 109, "": 40}, {"c": 200}], 200)
+
+
+def test_merging_noisy_alignments(monkeypatch):
+    r = random.Random(1)
+    base = "full mortise heavy weight hinge five knuckle ball bearing steel".split()
+
+    def value():
+        return tuple(t if r.random() > 0.1 else t + str(r.randrange(1000)) for t in base for _ in range(r.choice([1] * 18 + [0, 2])))
+
+    parts = [survivor.aligned([(value(), r.randrange(50, 1050)) for _ in range(64)]) for _ in range(12)]
+    columns, weight = survivor.merged(parts)
+    assert survivor.winners(columns) == base and {sum(c.values()) for c in columns} == {weight}
+    monkeypatch.setattr(survivor, "_CELLS", 0)
+    assert survivor.merged(parts) == (columns, weight)
