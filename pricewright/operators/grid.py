@@ -37,8 +37,9 @@ def merged_regions(cells: DataFrame) -> DataFrame:
 
 
 def column_types(cells: DataFrame, share: float = 0.7, first: int = 10) -> DataFrame:
-    """(table_id, col_index, filled, numeric, kind) by a column's first rows."""
-    d = cells.where((F.col("row_index") < first) & ~is_blank(F.col("cell")))
+    """(table_id, col_index, filled, numeric, kind) by a column's first cells that aren't blank."""
+    w = Window.partitionBy("table_id", "col_index").orderBy("row_index")
+    d = cells.where(~is_blank(F.col("cell"))).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= first)
     g = d.groupBy("table_id", "col_index").agg(F.count("*").alias("filled"), F.count_if(number_of(F.col("cell")).isNotNull()).alias("numeric"))
     return g.withColumn("kind", F.when(F.col("numeric") > F.col("filled") * share, "number").otherwise("text"))
 
@@ -101,6 +102,35 @@ def weld_header(cells: DataFrame, rows: int = 2) -> DataFrame:
     return c.groupBy("table_id", "col_index").agg(F.array_join(texts, " ").alias("header"))
 
 
+#: Words of which a header row has one.
+HEADER_WORDS = ["model", "description", "price", "series", "size", "finish", "code", "name", "qty", "quantity", "part", "sku", "item"]
+
+
+def header_runs(cells: DataFrame, first: int = 3) -> DataFrame:
+    """(table_id, first_row, last_row): the first run of header rows among a
+    table's first rows. A header row has a header word, less than 30 % numbers,
+    and at least two numbers more or less than the row below, if there is one."""
+    text = F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_index", "cell"))), lambda c: F.coalesce(c["cell"], F.lit(""))), " "))
+    d = cells.where(F.col("row_index") <= first).groupBy("table_id", "row_index").agg(text.alias("t"), F.count("*").alias("n"), F.count_if(number_of(F.col("cell")).isNotNull()).alias("k"))
+    below = F.lead("k").over(Window.partitionBy("table_id").orderBy("row_index"))
+    d = d.withColumn("_d", F.coalesce(F.abs(below - F.col("k")) >= 2, F.lit(True))).where(F.col("row_index") < first)
+    d = d.where(F.col("t").rlike("|".join(HEADER_WORDS)) & (F.col("k") < F.col("n") * 0.3) & F.col("_d"))
+    w = Window.partitionBy("table_id")
+    d = d.withColumn("_g", F.col("row_index") - F.row_number().over(w.orderBy("row_index")))
+    d = d.withColumn("_a", F.min("_g").over(w)).where("_g = _a")
+    return d.groupBy("table_id").agg(F.min("row_index").alias("first_row"), F.max("row_index").alias("last_row"))
+
+
+def weld_headers(cells: DataFrame) -> DataFrame:
+    """(table_id, col_index, rows, header): the distinct texts of a table's
+    header rows, joined per column; col_N where there are none."""
+    c = cells.join(header_runs(cells), "table_id").where(F.col("row_index").between(F.col("first_row"), F.col("last_row")))
+    found = F.array_sort(F.collect_list(F.when(~is_blank(F.col("cell")), F.struct("row_index", F.trim("cell").alias("t")))))
+    header = F.array_join(F.array_distinct(F.transform(found, lambda x: x["t"])), " ")
+    g = c.groupBy("table_id", "col_index").agg((F.max("last_row") - F.max("first_row") + 1).alias("rows"), header.alias("header"))
+    return g.withColumn("header", F.when(F.col("header") == "", F.concat(F.lit("col_"), F.col("col_index"))).otherwise(F.col("header")))
+
+
 def stitch(tables: DataFrame) -> DataFrame:
     """(doc_id, table_id, group_id): runs of tables that continue each other over
     pages. A table joins the run if it fits the run's first table: the same

@@ -295,6 +295,30 @@ def welded_headers(spark: SparkSession, d: str) -> DataFrame:
     return grid.weld_header(derived(spark, d, "cells"))
 
 
+_T = oracle("tall_cells")
+_TALL_TYPES = f"(SELECT table_id, col_index, count(*) AS filled, count({_NUM}) AS numeric, CASE WHEN count({_NUM}) > count(*) * 0.7 THEN 'number' ELSE 'text' END AS kind FROM (SELECT * FROM {_T} WHERE NOT {_BLANK} QUALIFY row_number() OVER (PARTITION BY table_id, col_index ORDER BY row_index) <= 10) GROUP BY 1, 2)"
+
+
+@query(f"SELECT * FROM {_TALL_TYPES}")
+def tall_cell_types(spark: SparkSession, d: str) -> DataFrame:
+    return grid.column_types(derived(spark, d, "tall_cells"))
+
+
+@query(f"SELECT c.table_id, c.row_index, c.col_index, CASE WHEN t.kind = 'number' THEN {_NUM} END AS number FROM {_T} c LEFT JOIN {_TALL_TYPES} t ON c.table_id = t.table_id AND c.col_index = t.col_index")
+def tall_cells_typed(spark: SparkSession, d: str) -> DataFrame:
+    return grid.typed(derived(spark, d, "tall_cells")).select("table_id", "row_index", "col_index", "number")
+
+
+@query(f"""WITH r AS (SELECT table_id, row_index, lower(string_agg(coalesce(cell, ''), ' ' ORDER BY col_index)) AS t, count(*) AS n, count({_NUM}) AS k FROM {_T} GROUP BY 1, 2),
+h AS (SELECT table_id, row_index, regexp_matches(t, '{"|".join(grid.HEADER_WORDS)}') AND k < n * 0.3 AND coalesce(abs(lead(k) OVER (PARTITION BY table_id ORDER BY row_index) - k) >= 2, true) AS head FROM r),
+f AS (SELECT table_id, min(row_index) AS a FROM h WHERE head AND row_index < 3 GROUP BY 1),
+g AS (SELECT f.table_id, a, coalesce(min(row_index), 3) AS b FROM f LEFT JOIN h ON f.table_id = h.table_id AND row_index BETWEEN a AND 2 AND NOT head GROUP BY 1, 2),
+d AS (SELECT table_id, col_index, b - a AS rows, CASE WHEN NOT {_BLANK} THEN trim(cell) END AS t, min(row_index) AS pos FROM {_T} JOIN g USING (table_id) WHERE row_index >= a AND row_index < b GROUP BY 1, 2, 3, 4)
+SELECT table_id, col_index, rows, coalesce(string_agg(t, ' ' ORDER BY pos), 'col_' || col_index) AS header FROM d GROUP BY 1, 2, 3""")
+def tall_headers(spark: SparkSession, d: str) -> DataFrame:
+    return grid.weld_headers(derived(spark, d, "tall_cells"))
+
+
 @query()
 def stitched_tables(spark: SparkSession, d: str) -> DataFrame:
     """Tables put together over pages; the fold has a run's head as its state."""

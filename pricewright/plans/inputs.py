@@ -55,6 +55,22 @@ FROM {part}""",
             ]
         )
     ),
+    # Tables of forty rows and eight columns with none to three header rows; the second column is blank down to row 15.
+    "tall_cells": "\nUNION ALL ".join(
+        f"SELECT floor((p_partkey - 1) / 40) AS table_id, cast((p_partkey - 1) % 40 AS int) AS row_index, {c} AS col_index, CASE WHEN (p_partkey - 1) % 40 >= floor((p_partkey - 1) / 40) % 4 THEN {e} WHEN (p_partkey - 1) % 40 = 0 THEN '{h[0]}' WHEN (p_partkey - 1) % 40 = 1 THEN '{h[1]}' ELSE '{h[2]}' END AS cell FROM {{part}}"
+        for c, (h, e) in enumerate(
+            [
+                (("Model", "Code", "Item"), "'M' || p_partkey"),
+                (("Price", "2024", "each"), "CASE WHEN (p_partkey - 1) % 40 < 15 THEN '' ELSE cast(cast(p_retailprice AS decimal(10,2)) AS string) END"),
+                (("Finish", "26", "Finish"), "cast(p_partkey % 900 AS string)"),
+                (("Name", "Name", "Part"), "p_brand"),
+                (("", "nan", ""), "'$' || (p_partkey % 70 + 5)"),
+                (("Qty", "", "box"), "cast(p_size AS string)"),
+                (("Size", "inches", ""), "CASE WHEN p_partkey % 3 = 0 THEN 'call' ELSE p_type END"),
+                (("List", "net", "USD"), "cast(p_partkey % 50 AS string)"),
+            ]
+        )
+    ),
     # Words of a scanned page with their places.
     "words": """
 SELECT l_partkey % 500 AS page, l_orderkey * 10 + l_linenumber AS word_no, cast(l_orderkey * 7 % 60 * 12 + l_linenumber % 5 AS int) AS top_, cast(l_suppkey * 13 % 600 AS int) AS left_, l_returnflag || l_linenumber AS word, cast(l_quantity * 2 AS double) AS conf

@@ -71,3 +71,23 @@ def test_publish(spark):
     assert {(r.v, r.action) for r in plan.collect()} == {("2", "create"), ("5", "same"), ("6", "update")}
     r = publish.deliver(plan, lambda rows: None, chunk=1).first()
     assert (r["rows"], r["chunks"]) == (2, 2)
+
+
+def _grid(spark, table):
+    return spark.createDataFrame([(1, r, k, v) for r, row in enumerate(table) for k, v in enumerate(row)], "table_id int, row_index int, col_index int, cell string")
+
+
+def test_types_by_the_first_filled_cells(spark):
+    c = _grid(spark, [["", "x"]] * 12 + [["5", "x"]] * 3 + [["nan", "1"]] * 20)
+    assert {r.col_index: (r.filled, r.kind) for r in grid.column_types(c).collect()} == {0: (3, "number"), 1: (10, "text")}
+    assert grid.typed(c).where("number is not null").count() == 3
+
+
+def test_headers_of_one_to_three_rows(spark):
+    heads = [["Model", "Price", "Size", "Name", "Qty", "", "x", "y"], ["Model", "2024", "25", "Part", "b", "", "x", "z"], ["Code", "a", "b", "Part", "c", "nan", "x", "y"]]
+    data = [["A1", "1", "2", "3", "4", "5", "t", "u"]] * 12
+    got = [{r.col_index: r.header for r in grid.weld_headers(_grid(spark, heads[:n] + data)).collect()} for n in range(4)]
+    assert got[0] == {}
+    assert (got[1][0], got[1][1], got[1][5]) == ("Model", "Price", "col_5")
+    assert (got[2][0], got[2][1], got[2][3]) == ("Model", "Price 2024", "Name Part")
+    assert (got[3][0], got[3][1], got[3][6], got[3][7]) == ("Model Code", "Price 2024 a", "x", "y z")
