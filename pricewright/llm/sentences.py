@@ -58,7 +58,7 @@ _TERM = ".!?…。！？｡．।॥؟۔"
 _QUOTES = [("“„", "”“"), ("«", "»"), ("‹", "›"), ("「", "」"), ("『", "』"), ("‘", "’"), (OPEN, CLOSE)]
 _CLOSERS = f"”’»›」』）】》〉\\)\\]{CLOSE}“"
 _CASELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsArabic}\p{IsDevanagari}\p{IsThai}\p{IsHangul}\p{IsHebrew}"
-#: How far a quotation or bracket may reach.
+#: How far ahead a closing mark counts by itself; farther ones need their opening mark too.
 _REACH = 400
 
 
@@ -76,7 +76,15 @@ def _mask_inside(text: Column, opening: str, closing: str) -> Column:
     """Mask the terminators inside a pair, but for those right before its end."""
     o, c = opening, closing
     inside = rf"[{_TERM}](?=[^{o}{c}]{{0,{_REACH}}}+[{c}])(?!{_WS}?[{_TERM}]*{_WS}?[{c}])"
-    return _where(text, rf"[{c}]", lambda x: _rx(x, inside, DOT))
+    return _where(text, rf"[{c}]", lambda x: _far_pairs(_rx(x, inside, DOT), o, c))
+
+
+def _far_pairs(text: Column, o: str, c: str) -> Column:
+    """Mask the terminators inside pairs of any length, from the opening mark on; pairs inside a pair may be of the same kind."""
+    calm = rf"[^{o}{c}{_TERM}]*+(?:[{o}][^{o}{c}]*+[{c}][^{o}{c}{_TERM}]*+)*+"
+    rest = rf"[^{o}{c}]*+(?:[{o}][^{o}{c}]*+[{c}][^{o}{c}]*+)*+[{c}]"
+    far = rf"((?:[{o}]|\G(?!\A)){calm})[{_TERM}](?={rest})(?!{_WS}?[{_TERM}]*{_WS}?[{c}])"
+    return _where(text, rf"[{o}][^{o}{c}]{{{_REACH}}}", lambda x: _rx(x, far, f"$1{DOT}"))
 
 
 def _parts(words: list[str]) -> str:
@@ -124,7 +132,9 @@ def _masked(block: Column) -> Column:
     )
     # What stands inside quotations and brackets. „…“ and “…” share a mark.
     t = _where(t, "”", lambda x: _rx(x, rf"[{_TERM}](?=[^“”„]{{0,{_REACH}}}+”)(?!{_WS}?[{_TERM}]*{_WS}?”)", DOT))
+    t = _where(t, "”", lambda x: _far_pairs(x, "“", "”"))
     t = _where(t, "„", lambda x: _rx(x, rf"[{_TERM}](?=[^“„]{{0,{_REACH}}}+“)(?![{_TERM}]*“)(?<=„[^“„]{{0,{_REACH}}})", DOT))
+    t = _where(t, "„", lambda x: _far_pairs(x, "„", "“"))
     for o, c in [("«", "»"), ("‹", "›"), ("「", "」"), ("『", "』"), (OPEN, CLOSE), (r"(（", r")）"), (r"\[【", r"\]】")]:
         t = _mask_inside(t, o, c)
     return t
@@ -132,7 +142,7 @@ def _masked(block: Column) -> Column:
 
 def _full_width(t: Column) -> Column:
     # Chinese speech after a colon ends its sentence, unless the text goes on.
-    speech = rf"([：:]{_WS}?[“「『][^“”「」『』]{{0,{_REACH}}}[。！？!?][”」』])(?=[^”’」』）》{CUT}])(?!{_WS}*(?:并|及|和|与|且|而|但|等|字样|的|と|っ|って|の))"
+    speech = rf"([：:]{_WS}?[“「『][^“”「」『』]*[。！？!?][”」』])(?=[^”’」』）》{CUT}])(?!{_WS}*(?:并|及|和|与|且|而|但|等|字样|的|と|っ|って|の))"
     t = _where(t, r"[：:][\s\p{Z}]?[“「『]", lambda x: _rx(x, speech, rf"$1{CUT}"))
     # Full-width terminators; a quotation that closes right after one goes on.
     t = _rx(t, rf"([。！？｡．]+)(?![。！？｡．”’」』）】》〉»{CLOSE}\)])", rf"$1{CUT}")

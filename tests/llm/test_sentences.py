@@ -54,3 +54,10 @@ def test_a_very_long_text(spark):
 def test_positions_are_characters_beyond_the_first_plane(spark):
     text = "😀 one. 😀😀 Two."
     assert units(spark, text) == [["😀 one.", "😀😀 Two."]] or units(spark, text) == [[text]]
+
+
+@pytest.mark.parametrize("pair", ["()", "“”", "„“", "«»", '""', "[]"])
+def test_long_quotations_are_not_cut(spark, pair):
+    inside = " ".join(f"Keep part {i} dry and clean. Do not paint it." for i in range(40))
+    text = f"The label says {pair[0]}{inside}{pair[1]} in red."
+    assert units(spark, f"{text} Next one.", f"One here. {text}") == [[text, "Next one."], ["One here.", text]]
