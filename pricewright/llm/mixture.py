@@ -69,12 +69,17 @@ class Source:
     target: float
     max_repeats: int
 
+    @property
+    def live(self) -> bool:
+        """Whether it can give anything: a limit of no repeats allows no use."""
+        return self.tokens > 0 and self.target > 0 and self.max_repeats > 0
+
 
 def tilted(sources: list[Source], exponent: float) -> list[float]:
-    """Weights at an exponent; sources without tokens or target get none."""
+    """Weights at an exponent; sources without tokens, target or allowed uses get none."""
     total = sum(s.tokens for s in sources) or 1
-    live = sum(s.target for s in sources if s.tokens > 0) or 1.0
-    raw = [(s.tokens / total) * ((s.target / live) / (s.tokens / total)) ** exponent if s.tokens > 0 and s.target > 0 else 0.0 for s in sources]
+    live = sum(s.target for s in sources if s.live) or 1.0
+    raw = [(s.tokens / total) * ((s.target / live) / (s.tokens / total)) ** exponent if s.live else 0.0 for s in sources]
     norm = sum(raw) or 1.0
     return [x / norm for x in raw]
 
@@ -101,8 +106,7 @@ def plan(sources: list[Source], size: int | None = None, target_entropy: float |
     limits. A size: the exponent is bisected to those limits; if even the
     corpus' own shares break them, budgets are cut to what the limits allow.
     A target entropy: the exponent, from 0 on, whose weights reach it."""
-    live = [s for s in sources if s.tokens > 0 and s.target > 0]
-    if not live:
+    if not any(s.live for s in sources):
         return 1.0, 0.0, [0.0] * len(sources)
     limit = [s.tokens * s.max_repeats for s in sources]
     total = size

@@ -58,3 +58,8 @@ def test_empty(spark):
     assert run(spark, [], [("a", 1.0, 1)])[0] == []
     m, s = run(spark, [(1, "a", "x")], [])
     assert m == [] and s["a"].share_reached in (None, 0.0)
+
+
+def test_plan_leaves_out_sources_without_allowed_repeats():
+    s = [Source("a", 1000, 0.4, 1), Source("b", 100, 0.4, 4), Source("barred", 500, 0.2, 0)]
+    assert mixture.plan(s) == (1.0, 800.0, [400.0, 400.0, 0.0])
