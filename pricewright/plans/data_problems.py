@@ -42,7 +42,7 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    lines = rejects.load_delimited(table(spark, d, "key_tables")).where("reason is not null").select(F.lit("key_tables").alias("table_name"), "record_id", "reason")
+    lines = rejects.load_delimited(table(spark, d, "key_tables"), typed=False).where("reason is not null").select(F.lit("key_tables").alias("table_name"), "record_id", "reason")
     rows = rejects.load_numbers(table(spark, d, "select_products_enhanced"), "record_id", "row_index").where("reason is not null")
     return lines.unionByName(rows.select(F.lit("select_products_enhanced").alias("table_name"), "record_id", "reason"))
 
@@ -100,7 +100,30 @@ found AS (
   WHERE r.key IS NOT NULL AND (p.key IS NULL OR p.born > r.t))
 """
 
+_SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*"
+_MONEY = _SPACE + r"(?:[-\x{2010}-\x{2015}\x{2212}\x{FE58}\x{FE63}\x{FF0D}]|\$?" + _SPACE + r"(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{3})+)(?:\.[0-9]{2})?)?" + _SPACE
+
+
+def _by_delimiter(d: str, rx: str) -> str:
+    """Whether records of one delimiter are well-formed, and their raw fields."""
+    return f"""SELECT line_id, cols, delimiter, regexp_full_match(data, '(?:"(?:[^"]|"")*"|[^"{rx}\\r\\n]*)(?:{rx}(?:"(?:[^"]|"")*"|[^"{rx}\\r\\n]*))*') AS formed,
+  regexp_extract_all('{d}' || data, '{rx}("(?:[^"]|"")*"|[^"{rx}]*)', 1) AS raw FROM lines WHERE delimiter = '{d}'"""
+
+
+_RECORDS = f"""WITH lines AS (SELECT line_id, cols, delimiter, coalesce(data, '') AS data FROM key_tables),
+parts AS ({" UNION ALL ".join(_by_delimiter(d, rx) for d, rx in ((",", ","), (";", ";"), ("|", chr(92) + "|"), (chr(9), chr(92) + "t")))}
+  UNION ALL SELECT line_id, NULL, delimiter, true, [] FROM lines WHERE delimiter IS NULL OR delimiter NOT IN (',', ';', '|', chr(9))),
+fields AS (SELECT line_id, cols, formed, list_transform(raw, lambda f: CASE WHEN f LIKE '"%' THEN replace(substr(f, 2, length(f) - 2), '""', '"') ELSE f END) AS f FROM parts),
+judged AS (SELECT line_id, f, CASE WHEN NOT formed THEN 'quoting' WHEN cols IS NULL OR cols < 1 OR len(f) <> cols THEN 'columns'
+  WHEN regexp_full_match(f[1], '{_SPACE}') OR len(list_filter(f[2:], lambda x: NOT regexp_full_match(x, '{_MONEY}'))) > 0 THEN 'value' END AS reason FROM fields)
+"""
+_ROW_NUMBERS = f"SELECT record_id, regexp_replace(coalesce(row_index, ''), '^{_SPACE}|{_SPACE}$', '', 'g') AS t FROM select_products_enhanced"
+
 ORACLE = {
+    "p6_found": _RECORDS + f"SELECT 'key_tables' AS table_name, line_id AS record_id, reason FROM judged WHERE reason IS NOT NULL UNION ALL SELECT 'select_products_enhanced', record_id, 'value' FROM ({_ROW_NUMBERS}) WHERE NOT regexp_full_match(t, '[0-9]{{1,4}}')",
+    "p6_loaded": _RECORDS + f"""SELECT line_id AS record_id, regexp_replace(f[1], '^{_SPACE}|{_SPACE}$', '', 'g') AS model, i AS price_no, try_cast(regexp_replace(f[i + 2], '[^0-9.]', '', 'g') AS DECIMAL(18,2)) AS price
+FROM judged LEFT JOIN range(0, 64) r(i) ON i < len(f) - 1 WHERE reason IS NULL""",
+    "p6_row_numbers": f"SELECT record_id, cast(t AS INTEGER) AS number FROM ({_ROW_NUMBERS}) WHERE regexp_full_match(t, '[0-9]{{1,4}}')",
     "p1_found": _VERSIONS + "SELECT sku, coalesce(strftime(valid_from, '%Y-%m-%d'), '') AS valid_from, coalesce(strftime(valid_to, '%Y-%m-%d'), '') AS valid_to FROM ended",
     "p1_versions": _VERSIONS + "SELECT sku, version_no, valid_from, valid_to, base_price, is_active, retired_date FROM ended",
     "p2_found": f"""

@@ -45,3 +45,22 @@ def test_many_open_quotes_in_one_batch(spark):
     cases = [('a,"1', ",", 2, "quoting") if i % 2 else ('"b",2', ",", 2, None) for i in range(1200)]
     got = load(spark, cases)
     assert [got[i].reason for i in range(1200)] == [c[3] for c in cases]
+
+
+@pytest.mark.parametrize("d", [",", ";", "|", "\t"])
+def test_surplus_empty_fields_count(spark, d):
+    cases = [
+        (f"a{d}1{d}2{d}", d, 3, "columns"), (f"a{d}1{d}2{d}{d}", d, 3, "columns"), (f'"a"{d}"1"{d}"2"{d}', d, 3, "columns"), (f'a{d}1{d}2{d}""', d, 3, "columns"), (f'a{d}1{d}2{d}""{d}""', d, 3, "columns"),
+        (f"a{d}", d, 1, "columns"), (f"a{d}1{d}", d, 3, None), (f"a{d}{d}", d, 3, None), (f'a{d}""{d}2', d, 3, None), (f'a{d}"1', d, 2, "quoting"), (f"b{d}7", d, 2, None),
+    ]
+    got = load(spark, cases)
+    assert [got[i].reason for i in range(len(cases))] == [c[3] for c in cases]
+
+
+def test_reasons_come_from_the_reject_tables():
+    con = rejects._connect()
+    bad = [(1, 3, ",", 'a,"1" x,2'), (2, 3, ",", '"a,1,"2"'), (3, 3, ",", "a,1,2"), (4, 3, ",", "a,1")]
+    from unittest import mock
+
+    with mock.patch.object(rejects, "_well_formed", lambda d: lambda data: True):  # without the exact check
+        assert {r[0]: r[1] for r in rejects.parse_records(bad, con)} == {1: "quoting", 2: "quoting", 3: None, 4: "columns"}
