@@ -1,137 +1,137 @@
 """Several values packed in one field, split by a parsing expression grammar.
 
-The grammar is built from ordered choices over terminals (compiled patterns),
-tried from left to right with backtracking:
-
-    list   <- item (sep item)* end
-    item   <- blank* (quoted / bracketed / bare)
-    quoted <- '"' ('""' / escape / !'"' .)* '"' blank* &(sep / end)
-    bracketed <- '[' list ']' blank* &(sep / end)
-    bare   <- (fraction / !sep .)*
-
-A quote that isn't closed before a separator or the end fails `quoted`; the
-parser backtracks and reads the text as `bare`, with the error flag set.
+    list      <- item (sep item)*
+    item      <- blank* (quoted / bracketed / bare)
+    quoted    <- mark (doubled / escape / other)* mark &stop
+               / mark (doubled / other)* mark &stop
+    bracketed <- '[' list ']' &stop
+    bare      <- (fraction / !sep .)*
+    stop      <- blank* (sep / end), inside brackets also blank* ']'
+
+Alternatives are tried in order. A quote or bracket that isn't closed before a
+separator or the end fails its rule; the parser backtracks and reads the text
+as `bare`, with the error flag set for a stray quote.
+
+Every rule is tried at most once at a position: results are kept in a table
+(packrat) that is filled from the text's end to its start. What a rule needs
+always lies to its right, so there is no recursion and no limit of depth, and
+the work is linear in the text, however malformed it is.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
 from pricewright.runtime import arrow_map
 
-#: A parse: the position after what was read, and its values as (text, malformed).
-Parse = tuple[int, list[tuple[str, bool]]] | None
-Rule = Callable[[str, int], Parse]
-
-
-def token(pattern: str, value: Callable[[re.Match], list[tuple[str, bool]]] = lambda m: []) -> Rule:
-    """A terminal."""
-    match = re.compile(pattern, re.S).match
-
-    def rule(s: str, i: int) -> Parse:
-        m = match(s, i)
-        return (m.end(), value(m)) if m else None
-
-    return rule
-
-
-def seq(*rules: Rule) -> Rule:
-    """All rules, one after the other."""
-
-    def rule(s: str, i: int) -> Parse:
-        found: list[tuple[str, bool]] = []
-        for r in rules:
-            p = r(s, i)
-            if p is None:
-                return None
-            i, values = p
-            found += values
-        return i, found
-
-    return rule
-
-
-def choice(*rules: Rule) -> Rule:
-    """The first rule that succeeds."""
-
-    def rule(s: str, i: int) -> Parse:
-        for r in rules:
-            p = r(s, i)
-            if p is not None:
-                return p
-        return None
-
-    return rule
-
 
-def ahead(r: Rule) -> Rule:
-    """Succeeds where the rule does, and reads nothing."""
-
-    def rule(s: str, i: int) -> Parse:
-        return None if r(s, i) is None else (i, [])
-
-    return rule
-
-
-def many(r: Rule) -> Rule:
-    """As often as it succeeds and reads something."""
-
-    def rule(s: str, i: int) -> Parse:
-        found: list[tuple[str, bool]] = []
-        while (p := r(s, i)) is not None and p[0] > i:
-            i, values = p
-            found += values
-        return i, found
-
-    return rule
-
-
-def lazy(get: Callable[[], Rule]) -> Rule:
-    """A rule that is defined later."""
-    return lambda s, i: get()(s, i)
-
-
-def _unquoted(m: re.Match) -> list[tuple[str, bool]]:
-    q, body = m[1], m[2]
-    return [(re.sub(r"\\([\"'\\/])", r"\1", body.replace(q + q, q)), False)]
-
-
-def _bare(m: re.Match) -> list[tuple[str, bool]]:
-    text = m[0].strip()
-    return [(text, '"' in text)] if text else []
-
-
-def grammar(words: bool) -> Rule:
+class Grammar:
     """The grammar of a packed field. words: values hold no white space, so
     white space separates them too (option codes)."""
-    sep = token(r"\s*(?:[,;|\n\r]|(?<!\d)/|/(?!\d))\s*" + (r"|\s+(?=\S)" if words else ""))
-    end = token(r"\s*\Z")
-    stop = ahead(choice(sep, end, token(r"\s*\]")))
-    quoted = seq(choice(*(token(rf"\s*({q})((?:{q}{q}|\\.|(?!{q}).)*){q}", _unquoted) for q in ('"', "'"))), stop)
-    inner: list[Rule] = []
-    bracketed = seq(token(r"\s*\["), lazy(lambda: inner[0]), token(r"\s*\]"), ahead(choice(sep, end, token(r"\s*\]"))))
-    char = r"(?:(?<=\d)/(?=\d)|[^,;|/\n\r" + (r"\s" if words else "") + r"])"
-    bare = token(r"[ \t]*" + char + r"*", _bare)
-    bare_in = token(r"[ \t]*" + char.replace("[^", r"[^\]") + r"*", _bare)
-    items = lambda b: (lambda item: seq(item, many(seq(sep, item))))(choice(quoted, bracketed, b))
-    inner.append(items(bare_in))
-    return choice(seq(items(bare), end), seq(many(choice(seq(items(bare), sep), bare, token(r"."))), end))
 
+    def __init__(self, words: bool) -> None:
+        sep = r"[^\S\n\r]*+(?:[,;|\n\r]|(?<!\d)/|/(?!\d))\s*+" + (r"|\s++(?=\S)" if words else "")
+        apart = r",;|\n\r" + (r"\s" if words else "")
+        self.sep = re.compile(sep).match
+        # Terminals: a text in marks with its body, tried with escapes first.
+        forms = [rf"({q})((?:{q}{q}|\\.|[^{q}\\])*+){q}" for q in "\"'"] + [rf"({q})((?:{q}{q}|[^{q}])*+){q}" for q in "\"'"]
+        self.quoted = {inside: [re.compile(rf"\s*{f}(?={sep}|\s*\Z{r'|\s*\]' if inside else ''})", re.S).match for f in forms] for inside in (False, True)}
+        self.blanks = re.compile(r"[ \t]*").match
+        # Where a bare text ends at the latest: a slash between digits doesn't end it.
+        self.edge = {inside: re.compile(rf"[{apart}{r'\]' if inside else ''}]|(?<!\d)/|/(?!\d)").search for inside in (False, True)}
+        self.edges = re.compile(rf"[{apart}\]]|(?<!\d)/|/(?!\d)").finditer
+        self.opening, self.closing, self.end = (re.compile(p).match for p in (r"\s*\[", r"\s*\]", r"\s*\Z"))
+        # Where an item can start: after a bracket, or after a separator and all blanks behind it.
+        self.starts = re.compile(rf"\A|(?<=\[)|(?<=[{apart}/\s])(?!\s)").finditer
+
+    def _terminal(self, s: str, i: int, inside: bool) -> tuple[int, str] | None:
+        """A quoted text at i: where it ends and its value."""
+        for match in self.quoted[inside]:
+            if m := match(s, i):
+                q, body = m[1], m[2].replace(m[1] * 2, m[1])
+                return m.end(), re.sub(r"\\([\"'\\/])", r"\1", body) if "\\" in body else body
+        return None
 
-_PARSERS: dict[bool, Rule] = {}
+    def _table(self, s: str) -> tuple[dict, dict, dict]:
+        """Of every place inside brackets its item, (end, value or None, inner
+        list or -1), where the list from it on ends and the item that follows;
+        and the bracketed lists, as (end, place of the first item)."""
+        item: dict[int, tuple[int, str | None, int]] = {}
+        tail: dict[int, tuple[int, int]] = {}
+        lists: dict[int, tuple[int, int]] = {}
+        edges = [m.start() for m in self.edges(s)]
+        marked = '"' in s or "'" in s
+        ends: dict[int, int] = {}  # of a place behind an item, where the separator there ends
+        for i in reversed(list(dict.fromkeys(m.start() for m in self.starts(s)))):
+            o = self.opening(s, i)
+            if o and o.end() in tail and (c := self.closing(s, tail[o.end()][0])):
+                after = c.end()
+                if self.sep(s, after) or self.end(s, after) or self.closing(s, after):
+                    lists[i] = (after, o.end())
+            if marked and (t := self._terminal(s, i, True)):
+                item[i] = (*t, -1)
+            elif i in lists:
+                item[i] = (lists[i][0], None, lists[i][1])
+            else:
+                k = bisect_left(edges, self.blanks(s, i).end())
+                item[i] = (edges[k] if k < len(edges) else len(s), None, -1)
+            end = item[i][0]
+            if end not in ends:
+                m = self.sep(s, end)
+                ends[end] = m.end() if m else -1
+            following = ends[end] if ends[end] in tail else -1
+            tail[i] = (tail[following][0] if following >= 0 else item[i][0], following)
+        return item, tail, lists
+
+    def split(self, s: str) -> list[tuple[str, bool]]:
+        """The values of a text, as (text, malformed), blank ones left out."""
+        out: list[tuple[str, bool]] = []
+
+        def emit(text: str, stray: bool) -> None:
+            if text := text.strip():
+                out.append((text, stray and '"' in text))
+
+        item, tail, lists = self._table(s) if "[" in s else ({}, {}, {})
+        marked, edge, i = '"' in s or "'" in s, self.edge[False], 0
+        while True:
+            if marked and (t := self._terminal(s, i, False)):
+                i, text = t
+                emit(text, False)
+            elif i in lists and (self.sep(s, lists[i][0]) or self.end(s, lists[i][0])):
+                stack = [lists[i][1]]
+                while stack:
+                    at = stack.pop()
+                    end, text, inner = item[at]
+                    if tail[at][1] >= 0:
+                        stack.append(tail[at][1])
+                    if inner >= 0:
+                        stack.append(inner)
+                    else:
+                        emit(s[at:end] if text is None else text, text is None)
+                i = lists[i][0]
+            else:
+                m = edge(s, self.blanks(s, i).end())
+                end = m.start() if m else len(s)
+                emit(s[i:end], True)
+                i = end
+            m = self.sep(s, i)
+            if not m:
+                return out
+            i = m.end()
+
+
+_GRAMMARS: dict[bool, Grammar] = {}
 
 
-@lru_cache(maxsize=100_000)
 def split_values(text: str, words: bool = False) -> tuple[tuple[str, bool], ...]:
     """The values of a packed text, trimmed and without their enclosing quotes;
     blank values are left out. The flag tells of a malformed quote."""
-    rule = _PARSERS.get(words) or _PARSERS.setdefault(words, grammar(words))
-    p = rule(text, 0)
-    return tuple((v.strip(), bad) for v, bad in (p[1] if p else _bare(re.match(r".*", text, re.S))) if v.strip())
+    g = _GRAMMARS.get(words) or _GRAMMARS.setdefault(words, Grammar(words))
+    return tuple(g.split(text))
 
 
 _TOKEN = re.compile(r"""\s*(?:([{}\[\]:,])|"((?:\\.|[^"\\])*)"|'((?:\\.|[^'\\]|'(?!\s*[,:}\]]))*)'|([^\s{}\[\]:,"']+))""", re.S)

@@ -51,3 +51,36 @@ def test_positions_run_through_the_field(spark, rows):
 def test_a_very_long_field(spark):
     df = spark.createDataFrame([(1, ";".join(["ab"] * 50_000))], "export_id bigint, options string")
     assert packed.split_options(df, "export_id", "options").count() == 50_000
+
+
+def _within(seconds, text, words=False):
+    import time
+
+    t = time.perf_counter()
+    got = packed.split_values(text, words)
+    assert time.perf_counter() - t < seconds
+    return got
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_malformed_texts_take_time_in_proportion(words):
+    packed.split_values("a", words)
+    assert len(_within(0.05, "[a," * 30, words)) == 30
+    assert _within(0.05, '"' + "\\" * 40, words) == (('"' + "\\" * 40, True),)
+    assert len(_within(2, "[a," * 5000, words)) == 5000
+    _within(2, "[" * 10_000 + " " * 10_000 + '"' * 10_001, words)
+    _within(2, "['a," * 5000 + "]" * 4000, words)
+
+
+def test_ten_thousand_levels():
+    deep = "[" * 10_000 + "a, b" + "]" * 10_000
+    assert [v for v, _ in _within(2, deep + "; c")] == ["a", "b", "c"]
+    assert [v for v, _ in packed.split_values("[a; [b, 'c, d'], [[e]]] | f")] == ["a", "b", "c, d", "e", "f"]
+
+
+def test_open_brackets_and_quotes_fall_back_to_bare_text():
+    assert packed.split_values("[a, b") == (("[a", False), ("b", False))
+    assert packed.split_values('["a", b') == (('["a"', True), ("b", False))
+    assert packed.split_values('"a"], b') == (('"a"]', True), ("b", False))
+    assert packed.split_values("[a] x, b") == (("[a] x", False), ("b", False))
+    assert packed.split_values("[[a] x], b") == (("[[a] x]", False), ("b", False))
