@@ -14,18 +14,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewright.runtime import arrow_map, partitions
+from pricewright.runtime import arrow_map, cut, partitions
 
 #: Keys per range: the most elements an array can have.
 WIDTH = 1 << 14
 
 #: Tags hold the number of a reference times this, plus year and month.
 _MONTHS = 10_000_000
-#: Most parent tables and most tasks of a range; together they number the slots.
-_PARENTS, _SALTS = 8, 512
+#: Slots per range: parent tables times the tasks a hot range may be spread
+#: over. Ranges of 64-bit keys have 50 bits, which leaves this many.
+_SLOTS = 1 << 13
 
 _OUT = "ref_no int, record_id bigint, kind string, month int"
 
@@ -43,6 +44,10 @@ class Reference:
     parent_id: str = "id"
 
 
+def _range(key: Column) -> Column:
+    return F.call_function("shiftright", key, F.lit(WIDTH.bit_length() - 1))
+
+
 def _micros(name: str):
     return F.unix_micros(F.col(name).cast("timestamp"))
 
@@ -63,56 +68,77 @@ def _parents(tables: dict[str, DataFrame], deleted: DataFrame, names: list[tuple
     once = both.groupBy("parent_no", "id", "gone").agg(F.min("t").alias("t"))
     here = F.when(~F.col("gone"), F.struct("id", "t"))
     return (
-        once.groupBy("parent_no", F.floor(F.col("id") / WIDTH).alias("range"))
+        once.groupBy("parent_no", _range(F.col("id")).alias("range"))
         .agg(F.array_sort(F.collect_list(here)).alias("here"), F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("id")))).alias("gone"))
         .select("parent_no", "range", F.col("here.id").alias("ids"), F.transform("here", lambda x: F.coalesce(x["t"], F.lit(-(2**62)))).alias("times"), "gone")
     )
 
 
 def _probe(batches: Iterator) -> Iterator:
-    """Probe references against the arrays of their slot. Columns: slot, tag
-    (-1: arrays; else number of the reference and month), key, record_id, t and
-    blob. A row of arrays has the lengths of its ids and its deleted ids in key
-    and record_id, and ids, times and deleted ids one after the other in blob."""
+    """Probe references against the arrays of their slot, a batch at once.
+    Columns: slot, tag (-1: arrays; else number of the reference and month),
+    key, record_id, t and blob. A row of arrays has the lengths of its ids and
+    its deleted ids in key and record_id, and ids, times and deleted ids one
+    after the other in blob.
+
+    The arrays of all slots of a batch are laid end to end, each id as the
+    number of its slot and its place in the range, which keeps them sorted; one
+    binary search then serves the whole batch, however many slots it has."""
     import numpy as np
     import pyarrow as pa
 
-    at: int | None = None
-    ids = times = gone = np.empty(0, "int64")
+    none = np.empty(0, "int64")
+    open_slot, ids, times, gone = None, none, none, none  # the last slot's, for the next batch
+
+    def spans(starts, lengths):
+        """Positions of runs, one after the other."""
+        before = np.cumsum(lengths) - lengths
+        return np.arange(lengths.sum()) + np.repeat(starts - before, lengths)
 
-    def has(keys, sorted_):
+    def find(keys, sorted_):
         if not len(sorted_):
             return np.zeros(len(keys), bool), np.zeros(len(keys), "int64")
         k = np.minimum(np.searchsorted(sorted_, keys), len(sorted_) - 1)
         return sorted_[k] == keys, k
 
     for b in batches:
-        n = b.num_rows
-        if not n:
+        if not b.num_rows:
             continue
         slot, tag, key, record, t = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        cuts = np.flatnonzero(np.diff(slot)) + 1
-        found: list[tuple] = []
-        for lo, hi in zip([0, *cuts], [*cuts, n]):
-            if slot[lo] != at:
-                at, ids, times, gone = slot[lo], *[np.empty(0, "int64")] * 3
-            if tag[lo] < 0:
-                blob, m = np.asarray(b.column(5)[int(lo)].values.to_numpy(zero_copy_only=False), "int64"), int(key[lo])
-                ids, times, gone = blob[:m], blob[m : 2 * m], blob[2 * m :]
-                lo += 1
-            if lo == hi:
-                continue
-            keys = key[lo:hi]
-            there, k = has(keys, ids)
-            late = there & (times[k] > t[lo:hi]) if len(ids) else there
-            miss = np.flatnonzero(late | ~there)
-            if len(miss):
-                logged, _ = has(keys[miss], gone)
-                found.append((tag[lo:hi][miss], record[lo:hi][miss], np.where(late[miss], 0, np.where(logged, 1, 2))))
-        if found:
-            tags, rec, kind = (np.concatenate(x) for x in zip(*found))
+        blobs = b.column(5)
+        heads = np.flatnonzero(tag < 0)
+        n, g = key[heads], record[heads]
+        flat, starts = blobs.values.to_numpy(zero_copy_only=False), np.asarray(blobs.offsets)[heads]
+        if len(heads):
+            flat = flat.astype("int64", copy=False)
+        at = spans(starts, n)
+        place = np.concatenate([np.mod(ids, WIDTH), np.mod(flat[at], WIDTH) + np.repeat(np.arange(1, len(heads) + 1) * WIDTH, n)])
+        when = np.concatenate([times, flat[at + np.repeat(n, n)]])
+        at_gone = spans(starts + 2 * n, g)
+        logged = np.concatenate([np.mod(gone, WIDTH), np.mod(flat[at_gone], WIDTH) + np.repeat(np.arange(1, len(heads) + 1) * WIDTH, g)])
+        owner = np.cumsum(tag < 0)
+        owners = np.concatenate([[-1 if open_slot is None else open_slot], slot[heads]])
+        refs = np.flatnonzero(tag >= 0)
+        of = owner[refs]
+        mine = owners[of] == slot[refs]
+        if open_slot is None:
+            mine &= of > 0
+        want = of * WIDTH + np.mod(key[refs], WIDTH)
+        there, k = find(want, place)
+        there &= mine
+        late = there & (when[k] > t[refs]) if len(when) else there
+        miss = np.flatnonzero(late | ~there)
+        if len(heads):
+            last = len(heads) - 1
+            open_slot = slot[heads[last]]
+            o, m, d = starts[last], n[last], g[last]
+            ids, times, gone = (flat[x:y].copy() for x, y in ((o, o + m), (o + m, o + 2 * m), (o + 2 * m, o + 2 * m + d)))
+        if len(miss):
+            was_logged = find(want[miss], logged)[0] & mine[miss]
+            kind = np.where(late[miss], 0, np.where(was_logged, 1, 2))
+            tags = tag[refs][miss]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tags // _MONTHS, pa.int32()), pa.array(rec, pa.int64()), pa.array(np.array(["late", "deleted", "missing"], dtype=object)[kind], pa.string()), pa.array(tags % _MONTHS, pa.int32())],
+                [pa.array(tags // _MONTHS, pa.int32()), pa.array(record[refs][miss], pa.int64()), pa.array(np.array(["late", "deleted", "missing"], dtype=object)[kind], pa.string()), pa.array(tags % _MONTHS, pa.int32())],
                 names=["ref_no", "record_id", "kind", "month"],
             )
 
@@ -135,7 +161,7 @@ def orphans(tables: dict[str, DataFrame], deleted: DataFrame, references: list[R
     for no, r in enumerate(references):
         d = tables[r.table_name].where(F.col(r.field_name).isNotNull()).select(
             F.lit(number[r.parent_name, r.parent_id, r.parent_time]).alias("parent_no"),
-            F.floor(F.col(r.field_name) / WIDTH).alias("range"),
+            _range(F.col(r.field_name).cast("bigint")).alias("range"),
             F.lit(no).alias("ref_no"),
             F.col(r.field_name).cast("bigint").alias("key"),
             F.col(r.child_id).cast("bigint").alias("record_id"),
@@ -143,16 +169,19 @@ def orphans(tables: dict[str, DataFrame], deleted: DataFrame, references: list[R
             (F.year(r.child_time) * 100 + F.month(r.child_time)).alias("month"),
         )
         refs = d if refs is None else refs.unionByName(d)
-    if len(names) > _PARENTS:
-        raise ValueError(f"more than {_PARENTS} parent tables")
     parts = partitions(refs.sparkSession)
-    # Ranges with more references than a quarter of a fair share get more than
-    # one task; there can't be more than 4 x parts of them, so this is small.
-    fair = refs.agg((F.count("*") / (4 * parts)).alias("fair"))
-    split = refs.groupBy("parent_no", "range").count().join(F.broadcast(fair), F.col("count") > F.col("fair"))
-    split = F.broadcast(split.select("parent_no", "range", F.least(F.ceil(F.col("count") / F.col("fair")), F.lit(min(_SALTS, 4 * parts))).cast("int").alias("salts")))
+    salts_most = min(_SLOTS // len(names), 4 * parts)
+    if not salts_most:
+        raise ValueError(f"more than {_SLOTS} parent tables")
+    # References per range, counted once: a row per range, kept. Ranges with
+    # more than a quarter of a fair share get more than one task; there can't
+    # be more than 4 x parts of them, so their list is small.
+    counts = cut(refs.groupBy("parent_no", "range").count())
+    fair = counts.agg(F.sum("count") / (4 * parts)).scalar()
+    split = counts.withColumn("fair", fair).where(F.col("count") > F.col("fair"))
+    split = F.broadcast(split.select("parent_no", "range", F.least(F.ceil(F.col("count") / F.col("fair")), F.lit(salts_most)).cast("int").alias("salts")))
     salts = F.coalesce("salts", F.lit(1))
-    slot = lambda salt: ((F.col("range") * _PARENTS + F.col("parent_no")) * _SALTS + salt).cast("bigint").alias("slot")
+    slot = lambda salt: ((F.col("range") * len(names) + F.col("parent_no")) * salts_most + salt).cast("bigint").alias("slot")
     r = refs.join(split, ["parent_no", "range"], "left").select(
         slot(F.pmod(F.hash("record_id"), salts)), (F.col("ref_no").cast("bigint") * _MONTHS + F.coalesce("month", F.lit(0))).alias("tag"), "key", F.coalesce("record_id", F.lit(0)).alias("record_id"),
         F.coalesce("t", F.lit(2**62)).alias("t"), F.lit(None).cast("array<bigint>").alias("blob"),

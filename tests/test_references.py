@@ -52,3 +52,17 @@ def test_against_brute_force_with_a_hot_key_and_far_keys(spark):
             elif target[k] > t:
                 want.add((table, field, i, "late", t.strftime("%Y-%m")))
     assert run(spark, products, options, families=families, gone=gone) == sorted(want)
+
+
+def test_sparse_wide_keys_and_arrays_that_span_batches(spark):
+    rnd = random.Random(2)
+    far = [rnd.randrange(-(2**62), 2**62) for _ in range(400)] + [2**53, 2**53 + 2]
+    products = [(i, None, k + (i % 2), at(1)) for i, k in enumerate(far * 2)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = run(spark, products, families=[(k, at(0)) for k in far] + [(7, at(0))] * 3)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    there = set(far)
+    assert [r[2] for r in got] == [i for i, p in enumerate(products) if p[2] not in there]
