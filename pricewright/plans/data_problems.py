@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewright.operators import history, packed, references, rejects, snapshots
-from pricewright.runtime import table
+from pricewright.runtime import shared_dir, table
 
 
 def _day(c: str):
@@ -28,6 +30,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.date_format("day", "yyyy-MM-dd").alias("snapshot_date"), F.col("key").alias("sku"), "change")
 
 
+def p2_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The last delivery against the stored dictionary and words of those before it."""
+    c = snapshots.latest_product_changes(table(spark, d, "hager_products"), f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}")
+    return c.select(F.date_format("day", "yyyy-MM-dd").alias("snapshot_date"), F.col("key").alias("sku"), "change")
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     tables = {n: table(spark, d, n) for n in ("products", "product_options", "price_books", "product_families")}
     return references.catalog_orphans(tables, table(spark, d, "deleted_records"))
@@ -62,7 +70,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).select("table_name", "record_id", "field_name", "value_no", "value")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_versions, p2_found, p4_found, p4_counts, p6_found, p6_loaded, p6_row_numbers, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_versions, p2_found, p2_latest, p4_found, p4_counts, p6_found, p6_loaded, p6_row_numbers, p7_found)}
 
 _PLAIN = "nullif(upper(regexp_replace({}, '[^A-Za-z0-9]', '', 'g')), '')"
 
@@ -119,14 +127,7 @@ judged AS (SELECT line_id, f, CASE WHEN NOT formed THEN 'quoting' WHEN cols IS N
 """
 _ROW_NUMBERS = f"SELECT record_id, regexp_replace(coalesce(row_index, ''), '^{_SPACE}|{_SPACE}$', '', 'g') AS t FROM select_products_enhanced"
 
-ORACLE = {
-    "p6_found": _RECORDS + f"SELECT 'key_tables' AS table_name, line_id AS record_id, reason FROM judged WHERE reason IS NOT NULL UNION ALL SELECT 'select_products_enhanced', record_id, 'value' FROM ({_ROW_NUMBERS}) WHERE NOT regexp_full_match(t, '[0-9]{{1,4}}')",
-    "p6_loaded": _RECORDS + f"""SELECT line_id AS record_id, regexp_replace(f[1], '^{_SPACE}|{_SPACE}$', '', 'g') AS model, i AS price_no, try_cast(regexp_replace(f[i + 2], '[^0-9.]', '', 'g') AS DECIMAL(18,2)) AS price
-FROM judged LEFT JOIN range(0, 64) r(i) ON i < len(f) - 1 WHERE reason IS NULL""",
-    "p6_row_numbers": f"SELECT record_id, cast(t AS INTEGER) AS number FROM ({_ROW_NUMBERS}) WHERE regexp_full_match(t, '[0-9]{{1,4}}')",
-    "p1_found": _VERSIONS + "SELECT sku, coalesce(strftime(valid_from, '%Y-%m-%d'), '') AS valid_from, coalesce(strftime(valid_to, '%Y-%m-%d'), '') AS valid_to FROM ended",
-    "p1_versions": _VERSIONS + "SELECT sku, version_no, valid_from, valid_to, base_price, is_active, retired_date FROM ended",
-    "p2_found": f"""
+_CHANGES = f"""
 WITH rows AS (
   SELECT snapshot_date, {_PLAIN.format("sku")} AS sku, loaded_at, cast(round(cast(base_price AS DECIMAL(18,6)) * 100, 0) AS BIGINT) AS cents,
     translate(regexp_replace(regexp_replace(lower(description), '[\\s\\x{{00A0}}\\x{{2009}}\\x{{202F}}\\x{{3000}}\\x{{200B}}]+', '', 'g'), '''''|’’|′′', '"', 'g'), '“”„‟″«»‘’‚‛′`´''', repeat('"', 15)) AS text
@@ -140,7 +141,17 @@ SELECT strftime(coalesce(p.day, o.day), '%Y-%m-%d') AS snapshot_date, coalesce(p
   CASE WHEN o.old IS NULL THEN 'added' WHEN p.new IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM pairs p FULL JOIN old o ON p.day = o.day AND p.sku = o.sku
 WHERE o.old IS NULL OR p.new IS NULL OR p.cents IS DISTINCT FROM o.cents OR p.text IS DISTINCT FROM o.text
-""",
+"""
+
+ORACLE = {
+    "p6_found": _RECORDS + f"SELECT 'key_tables' AS table_name, line_id AS record_id, reason FROM judged WHERE reason IS NOT NULL UNION ALL SELECT 'select_products_enhanced', record_id, 'value' FROM ({_ROW_NUMBERS}) WHERE NOT regexp_full_match(t, '[0-9]{{1,4}}')",
+    "p6_loaded": _RECORDS + f"""SELECT line_id AS record_id, regexp_replace(f[1], '^{_SPACE}|{_SPACE}$', '', 'g') AS model, i AS price_no, try_cast(regexp_replace(f[i + 2], '[^0-9.]', '', 'g') AS DECIMAL(18,2)) AS price
+FROM judged LEFT JOIN range(0, 64) r(i) ON i < len(f) - 1 WHERE reason IS NULL""",
+    "p6_row_numbers": f"SELECT record_id, cast(t AS INTEGER) AS number FROM ({_ROW_NUMBERS}) WHERE regexp_full_match(t, '[0-9]{{1,4}}')",
+    "p1_found": _VERSIONS + "SELECT sku, coalesce(strftime(valid_from, '%Y-%m-%d'), '') AS valid_from, coalesce(strftime(valid_to, '%Y-%m-%d'), '') AS valid_to FROM ended",
+    "p1_versions": _VERSIONS + "SELECT sku, version_no, valid_from, valid_to, base_price, is_active, retired_date FROM ended",
+    "p2_found": _CHANGES,
+    "p2_latest": f"SELECT * FROM ({_CHANGES}) WHERE snapshot_date = (SELECT strftime(max(snapshot_date), '%Y-%m-%d') FROM hager_products)",
     "p4_found": _ORPHANS + "SELECT * FROM found",
     "p4_counts": _ORPHANS + "SELECT table_name, field_name, kind, period, count(*) AS records FROM found GROUP BY ALL",
 }

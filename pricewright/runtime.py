@@ -62,7 +62,8 @@ def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """The rows over enough tasks for work that costs much CPU per row. Input
-    that comes in too few splits is redistributed; large input never is."""
+    that comes in too few splits is redistributed, which shuffles it once; input
+    of two splits a core or more never is. Results don't depend on it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df
@@ -71,16 +72,41 @@ def spread(df: DataFrame) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or where that is
-    unset (tests on one machine) a folder of this process."""
+    unset on one machine (tests) a folder of this process. On a cluster without
+    the setting there is none, and that is an error."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if known:
         return known
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="pricewright-")
     return _OWN_DIR[app]
 
 
+def finished(spark: SparkSession, path: str, table_name: str) -> list[int]:
+    """Numbers of the complete versions v0, v1, ... of a table under a path. A
+    folder that isn't there has none; any other failure to look is raised."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{path}/{table_name}")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = []
+    for f in fs.listStatus(root):
+        name = f.getPath().getName()
+        if f.isDirectory() and name[:1] == "v" and name[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")):
+            found.append(int(name[1:]))
+    return sorted(found)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a table with all in it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder, so that a lost
     executor costs no more than the work since the cut."""

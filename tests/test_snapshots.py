@@ -72,3 +72,20 @@ def test_bit_63_is_a_bit_like_others(spark):
         spark.createDataFrame(data, H).select(F.col("snapshot_date").alias("d"), F.col("sku").alias("k"), F.col("loaded_at").alias("l"), F.col("base_price").alias("v")), "d", "k", "l", ["v"], buckets=1
     )
     assert {r.key for r in got.collect()} == {f"k{i:03}" for i in range(0, 200, 5)}
+
+
+def test_a_store_takes_deliveries_one_at_a_time(spark, tmp_path):
+    rnd = random.Random(9)
+    data = [row(m, f"s{k}", float(rnd.randrange(2))) for m in range(1, 6) for k in range(200) if rnd.random() < 0.6]
+    store = snapshots.Store(spark, str(tmp_path / "s"), ["cents", "text"], buckets=3)
+    got, ordinals = [], {}
+    for months in ([1, 2], [3], [3], [4, 5]):  # the third is a repeat
+        rows = snapshots.product_rows(spark.createDataFrame([r for r in data if r[0].month in months], H))
+        got += [(r.day.month, r.key, r.change) for r in store.deliver(rows, "snapshot_date", "sku", "loaded_at").collect()]
+        # A version without _SUCCESS is no version.
+        (tmp_path / "s" / "words" / "v99").mkdir(exist_ok=True)
+        now = {r.key: (r.bucket, r.ordinal) for r in spark.read.parquet(f"{store.path}/dictionary/v{store._version()}").collect()}
+        assert all(now[k] == v for k, v in ordinals.items())
+        ordinals = now
+    assert sorted(got) == run(spark, data)
+    assert len(set(ordinals.values())) == len(ordinals) == len({r[1] for r in data})
