@@ -18,7 +18,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Events per hour and kind."""
-    out = flows.run_complete(flows.windowed(_events(spark, d), "ts", "event_type", "value"))
+    out = flows.run_updates(flows.windowed(_events(spark, d), "ts", "event_type", "value"), ["start", "end", "name"])
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
 
 

@@ -42,7 +42,15 @@ def first_that_works(*decoders: Decoder) -> Decoder:
 
 def read_pages(spark: SparkSession, path: str, decoder: Decoder = plain_text, glob: str = "*", max_pages: int = 1000) -> DataFrame:
     """Pages of all files under a path. A file whose decoder raises gives one
-    row of method failed; pages beyond max_pages of a file are not read."""
+    row of method failed. Pages beyond max_pages of a file are not read, for
+    which it gets one row of method skipped with the first of them."""
+
+    def first(content: bytes) -> Iterator[tuple]:
+        for n, t, m, c in decoder(content):
+            if n > max_pages:
+                yield n, None, "skipped", 0.0, f"pages after {max_pages} not read"
+                return
+            yield n, t, m, c, None
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -51,7 +59,7 @@ def read_pages(spark: SparkSession, path: str, decoder: Decoder = plain_text, gl
             rows: list[tuple] = []
             for p, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
-                    rows += [(p, n, t, m, c, None) for n, t, m, c in decoder(content) if n <= max_pages]
+                    rows += [(p, *page) for page in first(content)]
                 except Exception as e:  # a bad document must not end the job
                     rows.append((p, None, None, "failed", 0.0, str(e)[:500]))
             cols = list(zip(*rows)) or [()] * 6
