@@ -9,18 +9,20 @@ table tells how far the window may jump, a hash of the suffix block selects the
 patterns that may end there, and a direct comparison confirms them.
 
 The items are the stated query set and go to the workers in blocks of bounded
-size, each against all documents. Documents are read once per block and
-never shuffled.
+size by broadcast, each against all documents, which are read once per block.
+Documents that come in few splits are spread over the cores first.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import groupby, islice
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +31,29 @@ from pricewright.runtime import arrow_map, spread
 #: Items compiled at once, whatever there are.
 ITEMS_PER_BLOCK = 20_000
 
+def _mark_ranges() -> Iterator[tuple[int, int]]:
+    """Runs of characters of the categories Mn, Mc and Me."""
+    for mark, run in groupby(range(sys.maxunicode + 1), lambda c: unicodedata.category(chr(c))[0] == "M"):
+        if mark:
+            r = list(run)
+            yield r[0], r[-1]
+
+
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff]")
+# Combining marks belong to the word they stand in (vowel signs, harakat, tone
+# marks); without them a Devanagari or Thai word would fall into syllables.
+_MARKS = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in _mark_ranges())
+_MARKED = re.compile(rf"[㐀-䶿一-鿿豈-﫿]|(?:[^\W_㐀-䶿一-鿿豈-﫿]++|[{_MARKS}])+")
 _WORDS = re.compile(r"[㐀-䶿一-鿿豈-﫿]|[^\W_㐀-䶿一-鿿豈-﫿]+")
 _HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
 
 
 def words_of(text: str) -> list[str]:
     """The words of a text in comparison form; Chinese characters are words."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
-    return _WORDS.findall(text.casefold())
+    if text.isascii():
+        return _WORDS.findall(text.casefold())
+    text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)).casefold())
+    return _MARKED.findall(text)
 
 
 class WuManber:
@@ -116,11 +131,11 @@ def leaks_of(text: str, searches: tuple[WuManber, WuManber]) -> set[int]:
     return found
 
 
-def _scan(items: tuple[tuple[int, str], ...], run: int, han_run: int):
+def _scan(items: Broadcast, run: int, han_run: int):
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        searches = compile_items(items, run, han_run)
+        searches = compile_items(items.value, run, han_run)
         for b in batches:
             docs, hits = [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -140,8 +155,9 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     rows = ((int(i), t) for i, t in items.where(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(item_key, item_text).toLocalIterator())
     out: DataFrame | None = None
     docs = spread(documents.where(F.length(text) >= min(run, han_run)).select(F.col(key).cast("bigint"), text))
+    context = documents.sparkSession.sparkContext
     while (block := tuple(islice(rows, ITEMS_PER_BLOCK))) or out is None:
-        part = arrow_map(docs, _scan(block, run, han_run), "doc_id bigint, item_id bigint")
+        part = arrow_map(docs, _scan(context.broadcast(block), run, han_run), "doc_id bigint, item_id bigint")
         out = part if out is None else out.unionByName(part)
         if not block:
             break

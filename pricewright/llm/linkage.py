@@ -6,8 +6,10 @@ match, against it, or not at all. A generative label model, fitted without
 labels on the counts of vote patterns, learns how often each function is right
 in either class and which functions depend on each other (a tree of the
 strongest conditional dependences), and gives each pattern a posterior
-confidence. Patterns are few (3 per function), whatever the data, so the
-model is fitted on the driver and its table of posteriors is broadcast.
+confidence. The posterior decides: a listing goes to its likeliest candidate if
+that is more likely a match than not. Patterns are few (at most 3 to the power
+of the functions, whatever the data), so the model is fitted on the driver and
+its table of posteriors is broadcast.
 """
 
 from __future__ import annotations
@@ -36,8 +38,13 @@ AGAINST, ABSTAIN, MATCH = 0, 1, 2
 #: The labelling functions; the last only ever votes against.
 FUNCTIONS = ["prefix", "digits", "size", "finish", "weight", "type", "price", "goods"]
 UNIPOLAR = {"goods"}
+#: Votes counted in advance: a function is taken to be right in either class
+#: until the data says otherwise.
+RIGHT, WRONG = 1.0, 0.02
+#: How seldom a function that only votes against does so for a match.
+NEVER = 1e-4
 #: Functions are better than chance: none votes against more matches than this.
-MOST_WRONG = 0.15
+MOST_WRONG = 0.05
 _D = "[0-9OILSBGZ]"
 
 
@@ -99,14 +106,29 @@ def offers(listings: DataFrame) -> DataFrame:
 
 
 def goods(products: DataFrame) -> DataFrame:
-    """The products of the last snapshot with what their sku and description tell."""
-    rows = products.select("snapshot_date", plain_sku(F.col("sku")).alias("sku"), "loaded_at", F.upper("description").alias("text"), F.col("base_price").cast("double").alias("price"))
+    """The products of the last snapshot with what their sku, model and
+    description tell. A sku is read as its model, a size if there is one, and a
+    finish; the model as letters before and digits. What can't be read is null,
+    its functions abstain; a product whose model has no digits can't be named
+    by them and is no candidate."""
+    rows = products.select(
+        "snapshot_date", plain_sku(F.col("sku")).alias("sku"), "loaded_at", F.upper("description").alias("text"), F.col("base_price").cast("double").alias("price"), plain_sku(F.col("model")).alias("model"),
+    )
     last = rows.agg(F.max("snapshot_date").alias("snapshot_date"))
-    current = latest_in_snapshot(rows.join(F.broadcast(last), "snapshot_date"), "snapshot_date", "sku", "loaded_at", ["text", "price"])
-    parts = r"^([A-Z]+?)(\d{6})(\d{2})X\d{2}(US\w+)$"
-    got = lambda k: F.nullif(F.regexp_extract("key", parts, k), F.lit(""))
+    current = latest_in_snapshot(rows.join(F.broadcast(last), "snapshot_date"), "snapshot_date", "sku", "loaded_at", ["text", "price", "model"])
+    # Without a model column's help, the model is the sku up to a size, square
+    # ones first, or up to the finish.
+    tries = [r"^([A-Z]*\d+)(?=(\d{2,3})X\2(?!\d))", r"^([A-Z]*\d+)(?=\d{2}X\d{2})", r"^([A-Z]*\d+)(?=[A-Z])"]
+    read = F.coalesce(*(F.nullif(F.regexp_extract("key", t, 1), F.lit("")) for t in tries))
+    model = F.when(F.startswith("key", F.col("model")), F.col("model")).otherwise(read)
+    d = current.withColumn("model", model).withColumn("rest", F.expr("substring(key, length(model) + 1)"))
+    got = lambda c, parts, k: F.nullif(F.regexp_extract(c, parts, k), F.lit(""))
+    name, tail = r"^([A-Z]*)(\d+)$", r"^(?:(\d{2,3})X\d{2,3})?(.*)$"
     kind = F.regexp_extract("text", r"^\S+\s+([A-Z]+)(?:\s+[A-Z]+)*?\s+(?:HINGE|SET)\b", 1)
-    return current.select(F.col("key").alias("sku"), "price", _folded(got(1)).alias("prefix"), got(2).alias("key"), got(3).cast("int").alias("size"), got(4).alias("finish"), _weight(F.col("text")).alias("weight"), F.nullif(F.substring(kind, 1, 4), F.lit("")).alias("kind")).where(F.col("key").isNotNull())
+    return d.select(
+        F.col("key").alias("sku"), "price", _folded(got("model", name, 1)).alias("prefix"), got("model", name, 2).alias("key"), F.coalesce(got("rest", tail, 1).try_cast("int"), _size(F.col("text"))).alias("size"),
+        F.coalesce(got("rest", tail, 2), _finish(F.col("text"))).alias("finish"), _weight(F.col("text")).alias("weight"), F.nullif(F.substring(kind, 1, 4), F.lit("")).alias("kind"),
+    ).where(F.col("key").isNotNull())
 
 
 # How the kinds of goods begin.
@@ -128,11 +150,17 @@ def candidates(listings: DataFrame, products: DataFrame) -> DataFrame:
     for k in KINDS:
         has = has | F.col("o_text").rlike(rf"\b{k}")
     kind = F.when(F.col("kind").isNull(), ABSTAIN).when(F.contains(F.concat(F.lit(" "), "o_text"), F.concat(F.lit(" "), "kind")), MATCH).when(has, AGAINST).otherwise(ABSTAIN)
+    prefix, finish = vote(F.col("o_prefix"), F.col("prefix")), vote(F.col("o_finish"), F.col("finish"))
+    # A listing that leaves the size out means that of the nearest price. Its
+    # candidates, a model's skus, are few.
+    p = p.withColumn("_off", F.when(F.col("o_size").isNull() & (prefix != AGAINST) & (finish != AGAINST), off))
+    p = p.withColumn("_nearest", F.min("_off").over(Window.partitionBy("listing_id")))
+    size = F.when(F.col("o_size").isNull() & F.col("_nearest").isNotNull(), F.when(F.col("_off") <= F.col("_nearest"), MATCH).otherwise(AGAINST)).otherwise(vote(F.col("o_size"), F.col("size")))
     votes = {
-        "prefix": vote(F.col("o_prefix"), F.col("prefix")),
+        "prefix": prefix,
         "digits": F.when(F.col("read") == F.col("key"), MATCH).otherwise(ABSTAIN),
-        "size": vote(F.col("o_size"), F.col("size")),
-        "finish": vote(F.col("o_finish"), F.col("finish")),
+        "size": size,
+        "finish": finish,
         "weight": vote(F.col("o_weight"), F.col("weight")),
         "type": kind,
         "price": F.when(off.isNull(), ABSTAIN).when(off <= 0.04, MATCH).when(off > 0.2, AGAINST).otherwise(ABSTAIN),
@@ -142,47 +170,60 @@ def candidates(listings: DataFrame, products: DataFrame) -> DataFrame:
     return p.select("listing_id", "sku", pattern.alias("votes"), off.alias("off"))
 
 
+Votes = tuple[int, ...]
+
+
 @dataclass
 class LabelModel:
-    """Class-conditional tables of the votes cast, along a tree of dependences."""
+    """Class-conditional counts of the votes cast, along a tree of dependences:
+    for every function, (class, vote of the function it hangs on, vote)."""
 
     prior: float
     parent: list[int]
     table: list[dict[tuple[int, int, int], float]]
-
-    def posterior(self, votes: tuple[int, ...]) -> float:
-        """Confidence that a pair with these votes is a match."""
+    unipolar: frozenset[int]
+
+    def _share(self, i: int, y: int, up: int, v: int, own: float) -> float:
+        if i in self.unipolar and y:
+            return NEVER
+        n = self.table[i]
+        cast = {x: max(0.0, n.get((y, up, x), 0.0) - (own if x == v else 0.0)) + (RIGHT if (x == MATCH) == bool(y) else WRONG) for x in (AGAINST, MATCH)}
+        against = cast[AGAINST] / (cast[AGAINST] + cast[MATCH])
+        if y:
+            against = min(against, MOST_WRONG)
+        return against if v == AGAINST else 1 - against
+
+    def logs(self, votes: Votes, own: float | None = None) -> list[float]:
+        """Logarithms of the joint probabilities of these votes with either class."""
         logs = []
         for y, p in ((0, 1 - self.prior), (1, self.prior)):
             s = math.log(max(p, 1e-12))
+            mine = 0.0 if own is None else own if y else 1 - own
             for i, v in enumerate(votes):
-                if v == ABSTAIN:  # whether a function votes tells nothing
-                    continue
-                s += math.log(self.table[i][y, votes[self.parent[i]] if self.parent[i] >= 0 else 0, v])
+                # Whether a function votes tells nothing; how one votes that only votes against, nothing in its absence.
+                if v != ABSTAIN:
+                    s += math.log(self._share(i, y, votes[self.parent[i]] if self.parent[i] >= 0 else 0, v, mine))
             logs.append(s)
+        return logs
+
+    def posterior(self, votes: Votes, own: float | None = None) -> float:
+        """Confidence that a pair with these votes is a match. own: the
+        confidence with which one such pair was counted; its own votes are
+        taken out of the counts, so that it can't vouch for itself."""
+        logs = self.logs(votes, own)
         d = max(-50.0, min(50.0, logs[0] - logs[1]))
         return 1 / (1 + math.exp(d))
 
 
-def _tables(counts: dict[tuple[int, ...], float], soft: dict[tuple[int, ...], float], parent: list[int], functions: list[str]) -> list[dict]:
+def _tables(counts: dict[Votes, float], soft: dict[Votes, float], parent: list[int]) -> list[dict]:
     out = []
-    for i, name in enumerate(functions):
+    for i, above in enumerate(parent):
         n: dict[tuple[int, int, int], float] = {}
         for v, c in counts.items():
-            up = v[parent[i]] if parent[i] >= 0 else 0
+            up = v[above] if above >= 0 else 0
             for y, w in ((0, 1 - soft[v]), (1, soft[v])):
                 n[y, up, v[i]] = n.get((y, up, v[i]), 0.0) + c * w
-        table = {}
-        for y, up in itertools.product((0, 1), range(3)):
-            total = n.get((y, up, AGAINST), 0.0) + n.get((y, up, MATCH), 0.0) + 1.0
-            for x in (AGAINST, MATCH):
-                table[y, up, x] = (n.get((y, up, x), 0.0) + 0.5) / total
-            if y and table[y, up, AGAINST] > MOST_WRONG:
-                table[y, up, AGAINST], table[y, up, MATCH] = MOST_WRONG, 1 - MOST_WRONG
-            if name in UNIPOLAR and y:
-                # A function that only votes against never does for a match.
-                table[y, up, AGAINST] = 1e-4
-        out.append(table)
+        out.append(n)
     return out
 
 
@@ -231,58 +272,69 @@ def _tree(counts: dict[tuple[int, ...], float], soft: dict[tuple[int, ...], floa
     return parent
 
 
-def fit(counts: dict[tuple[int, ...], float], most: float = 0.5, functions: list[str] = FUNCTIONS, rounds: int = 60, least: float = 0.01) -> LabelModel:
-    """Expectation maximisation from a majority vote, first with independent
-    functions, then along the tree of the dependences found. most: the share of
-    pairs that can be matches, where a record has one counterpart at most. The
-    share of matches is sought between four fifths of it and all of it: where votes are
-    independent of each other, only that tells matches from coincidence."""
+def _maximised(counts: dict[Votes, float], least_prior: float, most: float, functions: list[str], rounds: int, least: float) -> tuple[LabelModel, dict[Votes, float]]:
     k = len(functions)
+    unipolar = frozenset(i for i, f in enumerate(functions) if f in UNIPOLAR)
+    total = sum(counts.values()) or 1.0
     soft = {}
     for v in counts:
-        s = sum(x - 1 for x in v) - (k - len(UNIPOLAR)) * 0.55
-        soft[v] = 0.001 if any(v[i] == AGAINST for i, f in enumerate(functions) if f in UNIPOLAR) else 1 / (1 + math.exp(-2 * s))
+        s = sum(x - 1 for x in v) - (k - len(unipolar)) * 0.55
+        soft[v] = 0.001 if any(v[i] == AGAINST for i in unipolar) else 1 / (1 + math.exp(-2 * s))
     parent = [-1] * k
-    model = LabelModel(0.1, parent, [])
-    total = sum(counts.values()) or 1.0
+    model = LabelModel(least_prior, parent, [{} for _ in range(k)], unipolar)
     for r in range(rounds):
         if r == rounds // 2:
             parent = _tree(counts, soft, k, least)
-        prior = min(most, max(0.8 * most, sum(c * soft[v] for v, c in counts.items()) / total))
-        model = LabelModel(prior, parent, _tables(counts, soft, parent, functions))
-        soft = {v: model.posterior(v) for v in counts}
+        prior = min(most, max(least_prior, sum(c * soft[v] for v, c in counts.items()) / total))
+        model = LabelModel(prior, parent, _tables(counts, soft, parent), unipolar)
+        soft = {v: model.posterior(v, soft[v]) for v in counts}
+    return model, soft
+
+
+def fit(counts: dict[Votes, float], most: float = 0.5, functions: list[str] = FUNCTIONS, rounds: int = 60, least: float = 0.01) -> LabelModel:
+    """Expectation maximisation from a majority vote, first with independent
+    functions, then along the tree of the dependences found. most: the share of
+    pairs that can be matches, where a record has one counterpart at most; below
+    it the share is learned.
+
+    Where the functions vote as if independently of each other, nothing in the
+    votes tells matches from coincidence and no pair comes out as one. Only
+    then is every record taken to have a counterpart, which fixes the share."""
+    model, soft = _maximised(counts, 1e-6, most, functions, rounds, least)
+    if counts and max(soft.values()) < 0.5:
+        model, _ = _maximised(counts, most, most, functions, rounds, least)
     return model
 
 
-def link(listings: DataFrame, products: DataFrame, least: float = 0.1) -> DataFrame:
+def confidences(pairs: DataFrame) -> tuple[DataFrame, LabelModel]:
+    """(votes, confidence) of every pattern among candidates, and the model."""
+    # At most 3 ** functions patterns.
+    counts = {tuple(map(int, r.votes)): float(r["count"]) for r in pairs.groupBy("votes").count().collect()}
+    # A listing offers one product at most.
+    listed = pairs.agg(F.count_distinct("listing_id").alias("n")).first().n
+    model = fit(counts, min(0.5, listed / max(1.0, sum(counts.values()))))
+    known = [("".join(map(str, v)), round(model.posterior(v, model.posterior(v)), 6)) for v in counts]
+    return pairs.sparkSession.createDataFrame(known, "votes string, confidence double"), model
+
+
+def link(listings: DataFrame, products: DataFrame, least: float = 0.5) -> DataFrame:
     """(listing_id, sku, confidence): for each listing the product it offers.
 
-    What the listing names of prefix, size and finish must be the product's; as
-    that is checked exactly, a low confidence is enough, which turns down what
-    merely looks alike. Of several products that are left, the likeliest comes
-    first, or the one of the nearest price where the size is left out. Where
-    neither a size nor a price tells several apart, none is chosen.
+    The candidate of the highest confidence is chosen, if that is at least
+    `least`. Candidates of equal confidence, as those of all sizes where the
+    listing names none, are told apart by the nearest price; where the listing
+    has no price either, none is chosen.
 
     Listings without a readable model, prices that are null, empty tables and
     repeated rows are fine: they give no row, abstain, nothing, and one row."""
     # Read three times below, so worked out once; a listing has about as many
     # pairs as a model has skus.
     pairs = cut(candidates(listings, products))
-    # At most 3 ** functions patterns.
-    counts = {tuple(map(int, r.votes)): float(r["count"]) for r in pairs.groupBy("votes").count().collect()}
-    # A listing offers one product at most.
-    listed = pairs.agg(F.count_distinct("listing_id").alias("n")).first().n
-    model = fit(counts, min(0.5, listed / max(1.0, sum(counts.values()))))
-    spark = listings.sparkSession
-    known = spark.createDataFrame([("".join(map(str, v)), model.posterior(v)) for v in counts], "votes string, confidence double")
-    fit_ = pairs.join(F.broadcast(known), "votes").where(F.col("confidence") >= least)
-    at = {f: i + 1 for i, f in enumerate(FUNCTIONS)}
-    exact = F.lit(True)
-    for f in ("prefix", "size", "finish"):
-        exact = exact & (F.substring("votes", at[f], 1) != str(AGAINST))
-    sized = F.substring("votes", at["size"], 1) == str(MATCH)
-    conf, off = -F.round("confidence", 6), F.coalesce("off", F.lit(1e9))
-    score = F.struct(F.when(sized, conf).otherwise(off).alias("first"), F.when(sized, off).otherwise(conf).alias("then"), "sku", conf.alias("c"), off.alias("off"))
-    best = fit_.where(exact).groupBy("listing_id").agg(F.min(score).alias("b"), F.min("sku").alias("lo"), F.max("sku").alias("hi"), F.bool_or(sized).alias("sized"))
-    best = best.where((F.col("b.off") < 1e9) | (F.col("lo") == F.col("hi")) | F.col("sized"))
+    known, _ = confidences(pairs)
+    likely = pairs.join(F.broadcast(known), "votes").where(F.col("confidence") >= least)
+    off = F.coalesce("off", F.lit(math.inf))
+    best = likely.groupBy("listing_id").agg(
+        F.min(F.struct((-F.col("confidence")).alias("c"), off.alias("off"), "sku")).alias("b"), F.max(F.struct("confidence", "sku")).alias("hi"), F.min(F.struct((-F.col("confidence")).alias("c"), "sku")).alias("lo"),
+    )
+    best = best.where((F.col("b.off") < math.inf) | (F.col("lo.sku") == F.col("hi.sku")))
     return best.select("listing_id", F.col("b.sku").alias("sku"), (-F.col("b.c")).alias("confidence"))

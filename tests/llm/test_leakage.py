@@ -1,3 +1,5 @@
+import pytest
+
 import random
 
 from pricewright.llm import leakage
@@ -49,3 +51,29 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     whole = run(spark, docs, items)
     monkeypatch.setattr(leakage, "ITEMS_PER_BLOCK", 2)
     assert run(spark, docs, items) == whole and whole
+
+
+# Words of twelve letters' worth of marks: Hindi with vowel signs, Arabic with
+# harakat, Thai with tone marks (set with blanks, as the rule counts words).
+MARKED = {
+    "hi": "दरवाज़े की चौखट में कब्ज़ा लगाने से पहले पेंच ढीले करें और दीवार साफ़ करें".split(),
+    "ar": "قَبْلَ تَرْكِيبِ المِفْصَلَةِ نَظِّفِ الإِطَارَ وَافْحَصِ البَرَاغِيَ ثُمَّ ثَبِّتِ اللَّوْحَ بِإِحْكَامٍ وَلَا تَتْرُكْ فَرَاغًا".split(),
+    "th": "ก่อน ติดตั้ง บานพับ ให้ ทำความสะอาด กรอบ ประตู แล้ว ตรวจ สกรู ทุก ตัว ให้ แน่น ก่อน ใช้".split(),
+}
+
+
+@pytest.mark.parametrize("lang", MARKED)
+def test_marks_are_part_of_their_words(lang):
+    words = MARKED[lang]
+    assert leakage.words_of(" ".join(words)) and len(leakage.words_of(" ".join(words))) == len(words)
+    searches = leakage.compile_items(((1, " ".join(words)),))
+    for n, leaks in ((11, set()), (12, {1})):
+        assert leakage.leaks_of("xx yy " + " ".join(words[:n]) + " zz", searches) == leaks
+    seven = leakage.leaks_of(" ".join(words[:7]), searches)
+    assert seven == set()
+
+
+def test_a_word_without_its_marks_is_another_word():
+    searches = leakage.compile_items(((1, " ".join(MARKED["hi"])),))
+    bare = [w.replace("ी", "").replace("े", "") for w in MARKED["hi"]]
+    assert leakage.leaks_of(" ".join(bare), searches) == set()
