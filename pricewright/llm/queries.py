@@ -17,6 +17,11 @@ def p3_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_verdicts(spark, d).select("export_id", "verdict")
+
+
+def p5_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts beside the number of fields a row shares with the consensus."""
     return survivor.verdicts(table(spark, d, "sample_products_export"))
 
 
@@ -40,4 +45,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_confidence, p5_found, p5_survivors, p8_found, p9_mixture, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_confidence, p5_found, p5_verdicts, p5_survivors, p8_found, p9_mixture, p9_shares, p10_found)}

@@ -1,11 +1,12 @@
 """The best representative of each group of duplicates, field by field.
 
-Groups are equal scan keys of the sku. Two things come out of a group: which
-row is kept (most trusted, most complete, first), and one surviving record
-whose fields are the group's consensus. The consensus of a text field is made
-by progressive alignment of the distinct values' tokens, heaviest value first;
-tokens vote with their values' weight in every column of the alignment, and
-the existing value closest to the winning tokens is emitted.
+Groups are equal scan keys of the sku. One surviving record comes out of a
+group, whose fields, the sku among them, are the group's consensus, and with it
+which row is kept (most trusted, most complete, first) and how many of its
+fields every row has right. The consensus of a field is made by progressive
+alignment of the distinct values' tokens (a sku's are its characters), heaviest
+value first; tokens vote with their values' weight in every column of the
+alignment, and the existing value closest to the winning tokens is emitted.
 
 Values are counted per group and field before anything is gathered, so exact
 copies cost nothing. A field with more than CHUNK distinct values in a group
@@ -26,13 +27,15 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewright.functions.keys import scan_key
-from pricewright.runtime import arrow_map
+from pricewright.functions.keys import plain_sku, scan_key
+from pricewright.runtime import arrow_map, cut
 
 #: Distinct values aligned at once.
 CHUNK = 64
 
+#: What counts as a filled value of a row; the sku, which every row of a group has, is a field besides.
 FIELDS = ["description", "base_price", "finish", "finish_description", "options"]
+ALL = ["sku", *FIELDS]
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
@@ -53,23 +56,13 @@ def ranked(df: DataFrame) -> DataFrame:
     return df.where(F.col("export_id").isNotNull()).select(
         F.col("export_id").cast("bigint").alias("export_id"), scan_key(F.col("sku")).alias("grp"),
         F.struct(F.round(confidence(F.col("confidence")), 9).alias("conf"), full.alias("full"), (-F.col("export_id")).alias("neg_id")).alias("rank"),
-        *(F.when(_filled(c), F.col(c).cast("string")).alias(c) for c in FIELDS),
+        plain_sku(F.col("sku")).alias("sku"), *(F.when(_filled(c), F.col(c).cast("string")).alias(c) for c in FIELDS),
     ).where(F.col("grp").isNotNull())
 
 
-def verdicts(df: DataFrame) -> DataFrame:
-    """(export_id, verdict) of every row in a group of two or more: keep for the
-    best rank, drop for the others. Rows without a sku belong to no group;
-    copies with the same export_id are one row and form no group by themselves."""
-    rows = ranked(df).select("export_id", "grp", "rank")
-    best = rows.groupBy("grp").agg(F.max("rank").alias("best"), F.min("export_id").alias("lo"), F.max("export_id").alias("hi"))
-    best = best.where(F.col("lo") < F.col("hi")).select("grp", (-F.col("best.neg_id")).alias("keeper"))
-    return rows.join(best, "grp").select("export_id", F.when(F.col("export_id") == F.col("keeper"), "keep").otherwise("drop").alias("verdict")).distinct()
-
-
-def tokens_of(value: str) -> tuple[str, ...]:
+def tokens_of(value: str, field: str = "") -> tuple[str, ...]:
     """Tokens of a value in comparison form."""
-    return tuple(_TOKEN.findall(value.casefold()))
+    return tuple(value) if field == "sku" else tuple(_TOKEN.findall(value.casefold()))
 
 
 #: Scores are whole numbers of a unit, so sums of them are exact in any order.
@@ -305,11 +298,11 @@ def _consensus(batches: Iterator) -> Iterator:
 
     for b in batches:
         texts, weights = [], []
-        for values, ws, level in zip(b.column("vals").to_pylist(), b.column("ws").to_pylist(), b.column("level").to_pylist()):
+        for field, values, ws, level in zip(*(b.column(c).to_pylist() for c in ("field", "vals", "ws", "level"))):
             if level == 1:
                 seqs: dict[tuple[str, ...], int] = defaultdict(int)
                 for v, w in zip(values, ws):
-                    seqs[tokens_of(v)] += round(w * 1e6)
+                    seqs[tokens_of(v, field)] += round(w * 1e6)
                 columns, weight = aligned(list(seqs.items()))
                 text = json.dumps(columns, ensure_ascii=False)
             elif len(values) == 1 and level == 2:
@@ -327,17 +320,44 @@ def _distances(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for b in batches:
-        far = [distance(tokens_of(v), c.split(_SEP) if c else []) for v, c in zip(b.column("val").to_pylist(), b.column("consensus").to_pylist())]
+        far = [distance(tokens_of(v, f), c.split(_SEP) if c else []) for f, v, c in zip(*(b.column(c).to_pylist() for c in ("field", "val", "consensus")))]
         yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("field"), b.column("val"), b.column("w"), pa.array(far, pa.int32())], names=["grp", "field", "val", "w", "far"])
 
 
+def _choose(batches: Iterator) -> Iterator:
+    """The whole of it for a group's field with few distinct values: alignment,
+    winning tokens, distances, and the closest value."""
+    import pyarrow as pa
+
+    for b in batches:
+        chosen = []
+        for field, values, ws in zip(*(b.column(c).to_pylist() for c in ("field", "vals", "ws"))):
+            tokens = [tokens_of(v, field) for v in values]
+            seqs: dict[tuple[str, ...], int] = defaultdict(int)
+            for t, w in zip(tokens, ws):
+                seqs[t] += round(w * 1e6)
+            agreed = winners(aligned(list(seqs.items()))[0]) if len(seqs) > 1 else tokens[0]
+            chosen.append(min((distance(t, agreed), -w, v) for t, w, v in zip(tokens, ws, values))[2])
+        yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("field"), pa.array(chosen, pa.string())], names=["grp", "field", "value"])
+
+
 def consensus_values(values: DataFrame) -> DataFrame:
     """(grp, field, value) for (grp, field, val, w) with distinct values: the
-    existing value closest to the consensus; ties go to weight, then text."""
-    n = values.groupBy("grp", "field").agg(F.count("*").alias("n"))
-    several = n.where("n > 1")
-    one = values.join(n.where("n = 1").select("grp", "field"), ["grp", "field"], "left_semi").select("grp", "field", F.col("val").alias("value"))
-    many = values.join(several, ["grp", "field"])
+    existing value closest to the consensus; ties go to weight, then text.
+
+    A group's field with at most CHUNK distinct values is one row of one pass;
+    others, if there are any, go through the levels."""
+    hot = values.groupBy("grp", "field").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    votes = F.array_sort(F.collect_list(F.struct("val", "w")))
+    few = values.join(hot.select("grp", "field"), ["grp", "field"], "left_anti").groupBy("grp", "field").agg(votes.alias("v"))
+    one = few.where(F.size("v") == 1).select("grp", "field", F.get("v", F.lit(0))["val"].alias("value"))
+    several = few.where(F.size("v") > 1).select("grp", "field", F.col("v.val").alias("vals"), F.col("v.w").alias("ws"))
+    several = arrow_map(several, _choose, "grp string, field string, value string")
+    return one.unionByName(several).unionByName(_by_levels(values.join(hot, ["grp", "field"])))
+
+
+def _by_levels(many: DataFrame) -> DataFrame:
+    """The same for (grp, field, val, w, n) with more than CHUNK distinct values."""
     # Three levels of about CHUNK each hold CHUNK ** 3 distinct values.
     chunks = lambda size: F.greatest(F.lit(1), F.ceil(F.col("n") / size)).cast("int")
     first, second = chunks(CHUNK), chunks(CHUNK * CHUNK)
@@ -356,19 +376,38 @@ def consensus_values(values: DataFrame) -> DataFrame:
     agreed = l3.select("grp", "field", F.col("val").alias("consensus"))
     near = arrow_map(many.select("grp", "field", "val", "w").join(agreed, ["grp", "field"]), _distances, "grp string, field string, val string, w double, far int")
     best = near.groupBy("grp", "field").agg(F.min(F.struct("far", (-F.col("w")).alias("neg"), "val")).alias("best"))
-    return one.unionByName(best.select("grp", "field", F.col("best.val").alias("value")))
+    return best.select("grp", "field", F.col("best.val").alias("value"))
 
 
-def survivors(df: DataFrame) -> DataFrame:
-    """(grp, export_id, records, *fields): one surviving record per group of two
-    or more rows. export_id is the kept row's; each field is the consensus of
-    the group's values, weighted by confidence, so that gaps are filled. Fields
-    without a value in the whole group stay null. Values are texts."""
-    rows = ranked(df)
+def _survivors(rows: DataFrame) -> DataFrame:
     best = rows.groupBy("grp").agg(F.max("rank").alias("best"), F.min("export_id").alias("lo"), F.max("export_id").alias("hi"), F.count("*").alias("records"))
     best = best.where("lo < hi").select("grp", (-F.col("best.neg_id")).alias("export_id"), "records")
-    stacked = rows.select("grp", F.col("rank.conf").alias("conf"), F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("val")) for c in FIELDS))).alias("f"))
+    stacked = rows.select("grp", F.col("rank.conf").alias("conf"), F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("val")) for c in ALL))).alias("f"))
     values = stacked.where(F.col("f.val").isNotNull()).groupBy("grp", F.col("f.field").alias("field"), F.col("f.val").alias("val")).agg(F.round(F.sum(F.col("conf") + 0.05), 6).alias("w"))
-    values = values.join(best.select("grp"), "grp", "left_semi")
-    chosen = consensus_values(values).groupBy("grp").agg(*(F.max(F.when(F.col("field") == c, F.col("value"))).alias(c) for c in FIELDS))
-    return best.join(chosen, "grp", "left")
+    # Read twice below; of a row per distinct value of a group, it is kept.
+    values = cut(values.join(best.select("grp"), "grp", "left_semi"))
+    chosen = consensus_values(values).groupBy("grp").agg(*(F.max(F.when(F.col("field") == c, F.col("value"))).alias(c) for c in ALL))
+    # Every row of a group has a sku, so every group has a consensus.
+    return best.join(chosen, "grp")
+
+
+def survivors(df: DataFrame) -> DataFrame:
+    """(grp, export_id, records, sku, *fields): one surviving record per group of
+    two or more rows. export_id is the kept row's; each field is the consensus
+    of the group's values, weighted by confidence, so that gaps are filled and
+    misread characters outvoted. Fields without a value in the whole group stay
+    null. Values are texts; the sku is its letters and digits."""
+    return _survivors(ranked(df))
+
+
+def verdicts(df: DataFrame) -> DataFrame:
+    """(export_id, verdict, agrees) of every row in a group of two or more: how
+    many fields it has as the surviving record has them, and keep for the best
+    rank, drop for the others. The rank is checked exactly, as the verdict is
+    defined by it. Rows without a sku belong to no group; copies with the same
+    export_id are one row and form no group by themselves."""
+    rows = ranked(df)
+    kept = _survivors(rows).select("grp", F.col("export_id").alias("keeper"), F.struct(*ALL).alias("s"))
+    agrees = sum((F.col(c).eqNullSafe(F.col(f"s.{c}")).cast("int") for c in ALL), F.lit(0))
+    verdict = F.when(F.col("export_id") == F.col("keeper"), "keep").otherwise("drop")
+    return rows.join(kept, "grp").groupBy("export_id", verdict.alias("verdict")).agg(F.max(agrees).alias("agrees"))

@@ -140,3 +140,11 @@ def test_merging_noisy_alignments(monkeypatch):
     assert survivor.winners(columns) == base and {sum(c.values()) for c in columns} == {weight}
     monkeypatch.setattr(survivor, "_CELLS", 0)
     assert survivor.merged(parts) == (columns, weight)
+
+
+def test_misread_skus_are_outvoted_and_agreement_is_counted(spark):
+    data = [row(1, "MHl000-US3", 0.9), row(2, "MH1000-US3", 0.6), row(3, "MH10O0 U53", 0.6, text="Hlnge"), row(4, "MH1000-US3", 0.6, options=None)]
+    got = survivor.survivors(rows(spark, data)).first()
+    assert (got.export_id, got.sku, got.description) == (1, "MH1000US3", "Hinge")
+    said = {r.export_id: (r.verdict, r.agrees) for r in survivor.verdicts(rows(spark, data)).collect()}
+    assert said == {1: ("keep", 5), 2: ("drop", 6), 3: ("drop", 4), 4: ("drop", 5)}
