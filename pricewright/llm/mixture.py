@@ -5,8 +5,9 @@ source's weight is its token share times (target / token share) to the power
 of an exponent, normalised. Exponent 1 gives the targets, 0 the corpus as it
 is. It is bisected: downwards to the largest exponent at which no source
 has to be repeated more often than it may, or to the one whose weights have a
-target entropy. Without a stated size the mixture is as large as the targets
-can be met exactly.
+target entropy. Without a stated size the mixture is as large as its weights can be
+met exactly under the repetition limits; without an entropy either, these are
+the targets themselves.
 
 The weights are realised as budgeted block permutations: documents fall into
 blocks by hash, each block is permuted by hash and takes its part of the
@@ -102,34 +103,31 @@ def _bisect(holds, lo: float, hi: float) -> float:
 def plan(sources: list[Source], size: int | None = None, target_entropy: float | None = None) -> tuple[float, float, list[float]]:
     """Exponent, size and token budgets of a mixture.
 
-    No size: the largest at which the targets hold exactly under the repeat
-    limits. A size: the exponent is bisected to those limits; if even the
-    corpus' own shares break them, budgets are cut to what the limits allow.
-    A target entropy: the exponent, from 0 on, whose weights reach it."""
+    A target entropy: the exponent, from 0 on, whose weights reach it. A size
+    without one: the exponent is bisected to the repetition limits; if even the
+    corpus' own shares break them, budgets are cut to what the limits allow. No
+    size: the largest at which the weights hold exactly under the limits."""
     if not any(s.live for s in sources):
         return 1.0, 0.0, [0.0] * len(sources)
     limit = [s.tokens * s.max_repeats for s in sources]
-    total = size
-    if total is None:
-        w = tilted(sources, 1.0)
-        total = min(c / x for c, x in zip(limit, w) if x > 0)
-    fits = lambda e: all(x * total <= c * (1 + 1e-12) for x, c in zip(tilted(sources, e), limit))
+    most = lambda e: min(c / x for c, x in zip(limit, tilted(sources, e)) if x > 0)
     if target_entropy is not None:
         sign = 1 if entropy(tilted(sources, 1.0)) >= entropy(tilted(sources, 0.0)) else -1
         e = _bisect(lambda x: sign * entropy(tilted(sources, x)) <= sign * target_entropy, 0.0, 1.0)
     else:
-        e = _bisect(fits, 0.0, 1.0)
-    budgets = [min(x * total, c) for x, c in zip(tilted(sources, e), limit)]
-    return e, float(total), budgets
+        e = 1.0 if size is None else _bisect(lambda x: most(x) >= size * (1 - 1e-12), 0.0, 1.0)
+    total = most(e) if size is None else size
+    return e, float(total), [float(min(x * total, c)) for x, c in zip(tilted(sources, e), limit)]
 
 
-def mix(documents: DataFrame, targets: DataFrame, size: int | None = None, target_entropy: float | None = None, seed: int = 7, vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The mixture and the shares it reaches.
+def mix(documents: DataFrame, targets: DataFrame, size: int | str | None = None, target_entropy: float | None = None, seed: int = 7, vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The mixture and the shares it reaches. size: tokens, or "corpus" for as
+    many as the sources that can be used have.
 
     mixture: (source, doc_id, use_no, place, n_tokens), one row per use of a
     document; place orders the mixture and is a hash of the use. shares:
     (source, target_share, max_repeats, available_tokens, budget_tokens,
-    mixed_tokens, share_reached, documents_used, most_uses), one row per
+    mixed_tokens, share_reached, documents_used, most_uses, exponent), one row per
     target and per source that has none, which is not used. A target without
     documents reaches 0 and its share goes to the others in proportion. Empty
     texts have no size and are not used; repeated doc_ids count once."""
@@ -140,7 +138,8 @@ def mix(documents: DataFrame, targets: DataFrame, size: int | None = None, targe
     # One row per source of the target list, which is stated by hand.
     rows = want.join(have, "source", "left").orderBy("source").collect()
     sources = [Source(r.source, int(r.tokens or 0), float(r.target or 0), int(r.max_repeats or 0)) for r in rows]
-    _, _, budgets = plan(sources, size, target_entropy)
+    tokens = sum(s.tokens for s in sources if s.live) if size == "corpus" else size
+    exponent, _, budgets = plan(sources, tokens, target_entropy)
     spark = documents.sparkSession
     schema = "source string, target_share double, max_repeats int, available bigint, docs bigint, budget double"
     table = F.broadcast(spark.createDataFrame([(s.name, s.target, s.max_repeats, s.tokens, int(r.docs or 0), b) for s, r, b in zip(sources, rows, budgets)], schema))
@@ -161,10 +160,12 @@ def mix(documents: DataFrame, targets: DataFrame, size: int | None = None, targe
     mixture = used.select("source", "doc_id", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("use_no"), "n_tokens")
     mixture = mixture.select("source", "doc_id", "use_no", place("doc_id", "use_no").alias("place"), "n_tokens")
     got = used.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("mixed"), F.count("*").alias("documents_used"), F.max("uses").alias("most_uses"))
-    sums = Window.partitionBy(F.lit(1))
+    # Sources without a target are named by the documents, in any number; the sum over all is a subquery.
+    total = got.agg(F.sum("mixed")).scalar()
     everything = have.join(table.drop("available", "docs"), "source", "full").join(got, "source", "left")
     shares = everything.select(
         "source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("available_tokens"), F.round(F.coalesce("budget", F.lit(0.0)), 3).alias("budget_tokens"), F.coalesce("mixed", F.lit(0)).alias("mixed_tokens"),
-        (F.coalesce("mixed", F.lit(0)) / F.sum("mixed").over(sums)).alias("share_reached"), F.coalesce("documents_used", F.lit(0)).alias("documents_used"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
+        (F.coalesce("mixed", F.lit(0)) / total).alias("share_reached"), F.coalesce("documents_used", F.lit(0)).alias("documents_used"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
+        F.lit(exponent).alias("exponent"),
     )
     return mixture, shares

@@ -41,8 +41,19 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
 
 
+def p9_sized(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of a mixture of as many tokens as the corpus has, more than the
+    targets allow under the repeat limits: the exponent is bisected to these."""
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "source_targets"), size="corpus")[1]
+
+
+def p9_entropy(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of a mixture whose exponent is bisected to an entropy of 1.85 nats."""
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "source_targets"), target_entropy=1.85)[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_confidence, p5_found, p5_verdicts, p5_survivors, p8_found, p9_mixture, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_confidence, p5_found, p5_verdicts, p5_survivors, p8_found, p9_mixture, p9_shares, p9_sized, p9_entropy, p10_found)}

@@ -63,3 +63,28 @@ def test_empty(spark):
 def test_plan_leaves_out_sources_without_allowed_repeats():
     s = [Source("a", 1000, 0.4, 1), Source("b", 100, 0.4, 4), Source("barred", 500, 0.2, 0)]
     assert mixture.plan(s) == (1.0, 800.0, [400.0, 400.0, 0.0])
+
+
+def test_a_size_over_the_limits_is_cut_by_the_exponent(spark):
+    docs = [(i, "big", "some words of text here") for i in range(400)] + [(1000 + i, "small", "a few words more") for i in range(40)]
+    targets = [("big", 0.4, 2), ("small", 0.6, 3)]
+    _, s = run(spark, docs, targets, size="corpus")
+    have = sum(r.available_tokens for r in s.values())
+    assert 0 < s["small"].exponent < 1 and s["small"].most_uses == 3
+    # Brute force: the small source gives all it may, the big one the rest.
+    most = 3 * s["small"].available_tokens
+    assert s["small"].mixed_tokens == most and s["big"].mixed_tokens == pytest.approx(have - most, rel=0.02)
+
+
+def test_an_entropy_is_reached(spark):
+    docs = [(i, "abc"[i % 7 % 3], "w " * 20) for i in range(3000)]
+    targets = [("a", 0.1, 50), ("b", 0.1, 50), ("c", 0.8, 50)]
+    _, s = run(spark, docs, targets, target_entropy=0.9)
+    assert 0 < s["a"].exponent < 1
+    assert mixture.entropy([r.share_reached for r in s.values()]) == pytest.approx(0.9, abs=0.01)
+
+
+def test_without_a_size_the_weights_of_an_entropy_hold_exactly():
+    s = [Source("a", 900, 0.5, 1), Source("b", 100, 0.5, 2)]
+    e, total, budgets = mixture.plan(s, None, 0.5)
+    assert [b / total for b in budgets] == pytest.approx(mixture.tilted(s, e)) and max(b / x.tokens / x.max_repeats for b, x in zip(budgets, s)) == pytest.approx(1)
