@@ -58,8 +58,6 @@ _TERM = ".!?…。！？｡．।॥؟۔"
 _QUOTES = [("“„", "”“"), ("«", "»"), ("‹", "›"), ("「", "」"), ("『", "』"), ("‘", "’"), (OPEN, CLOSE)]
 _CLOSERS = f"”’»›」』）】》〉\\)\\]{CLOSE}“"
 _CASELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsArabic}\p{IsDevanagari}\p{IsThai}\p{IsHangul}\p{IsHebrew}"
-#: How far ahead a closing mark counts by itself; farther ones need their opening mark too.
-_REACH = 400
 
 
 def _rx(text: Column, pattern: str, to: str) -> Column:
@@ -73,18 +71,33 @@ def _where(text: Column, holds: str, change: Callable[[Column], Column]) -> Colu
 
 
 def _mask_inside(text: Column, opening: str, closing: str) -> Column:
-    """Mask the terminators inside a pair, but for those right before its end."""
+    """Mask the terminators inside pairs of marks of any length, but for those
+    right before the closing mark. The text is cut at its marks into pieces;
+    a running fold keeps how many marks are open before each, and a piece that
+    ends in a closing mark, or lies between two marks, is inside if one is open
+    and is closed later on. What is opened and never closed is no pair."""
     o, c = opening, closing
-    inside = rf"[{_TERM}](?=[^{o}{c}]{{0,{_REACH}}}+[{c}])(?!{_WS}?[{_TERM}]*{_WS}?[{c}])"
-    return _where(text, rf"[{c}]", lambda x: _far_pairs(_rx(x, inside, DOT), o, c))
-
-
-def _far_pairs(text: Column, o: str, c: str) -> Column:
-    """Mask the terminators inside pairs of any length, from the opening mark on; pairs inside a pair may be of the same kind."""
-    calm = rf"[^{o}{c}{_TERM}]*+(?:[{o}][^{o}{c}]*+[{c}][^{o}{c}{_TERM}]*+)*+"
-    rest = rf"[^{o}{c}]*+(?:[{o}][^{o}{c}]*+[{c}][^{o}{c}]*+)*+[{c}]"
-    far = rf"((?:[{o}]|\G(?!\A)){calm})[{_TERM}](?={rest})(?!{_WS}?[{_TERM}]*{_WS}?[{c}])"
-    return _where(text, rf"[{o}][^{o}{c}]{{{_REACH}}}", lambda x: _rx(x, far, f"$1{DOT}"))
+    inside = rf"[{_TERM}](?!{_WS}?[{_TERM}]*{_WS}?[{c}])"
+
+    def pairs(x: Column) -> Column:
+        # Pieces end with a mark, the last one with the text.
+        pieces = F.regexp_extract_all(x, F.lit(rf"[^{o}{c}]*+[{o}{c}]|[^{o}{c}]++"), F.lit(0))
+        ends = lambda p, m: p.rlike(rf"[{m}]\z")
+        # From the right: how many closing marks wait for their opening one.
+        closed = F.aggregate(
+            F.reverse(pieces), F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")),
+            lambda a, p: F.struct(F.when(ends(p, c), a["n"] + 1).when(ends(p, o), F.greatest(a["n"] - 1, F.lit(0))).otherwise(a["n"]).alias("n"), F.concat(a["at"], F.array(F.when(ends(p, c), a["n"] + 1).when(ends(p, o), F.greatest(a["n"] - 1, F.lit(0))).otherwise(a["n"]))).alias("at")),
+            lambda a: F.reverse(a["at"]),
+        )
+        opened = F.aggregate(
+            pieces, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")),
+            lambda a, p: F.struct(F.when(ends(p, o), a["n"] + 1).when(ends(p, c), F.greatest(a["n"] - 1, F.lit(0))).otherwise(a["n"]).alias("n"), F.concat(a["at"], F.array(a["n"])).alias("at")),
+            lambda a: a["at"],
+        )
+        masked = F.transform(F.arrays_zip(pieces.alias("p"), opened.alias("o"), closed.alias("c")), lambda z: F.when((z["o"] > 0) & (z["c"] > 0), _rx(z["p"], inside, DOT)).otherwise(z["p"]))
+        return F.array_join(masked, "")
+
+    return _where(text, rf"[{o}][^{c}]*+[{c}]", pairs)
 
 
 def _parts(words: list[str]) -> str:
@@ -102,7 +115,7 @@ def _masked(block: Column) -> Column:
         return _rx(x, '"', CLOSE)
 
     t = _where(t, '"', direct)
-    t = _where(t, r"://|www\.", lambda x: _rx(x, r"[.?!](?<=(?:https?://|www\.)[^\s]{0,200}[.?!])(?=[^\s\p{Z}])", DOT))
+    t = _where(t, r"://|www\.", lambda x: _rx(x, r"((?:https?://|www\.)|\G(?!\A))([^\s.?!]*+)[.?!](?=[^\s\p{Z}])", f"$1$2{DOT}"))
     # Decimals, section and part numbers; stops inside a word.
     t = _rx(t, r"\.(?=\d)(?!(?<=\p{Ll}{3}\.)\d+ \p{L})|\.(?=\p{Ll})(?<=[\p{L}\p{N}]\.)", DOT)
     # Abbreviations of several parts, then single ones.
@@ -131,10 +144,8 @@ def _masked(block: Column) -> Column:
         DOT,
     )
     # What stands inside quotations and brackets. „…“ and “…” share a mark.
-    t = _where(t, "”", lambda x: _rx(x, rf"[{_TERM}](?=[^“”„]{{0,{_REACH}}}+”)(?!{_WS}?[{_TERM}]*{_WS}?”)", DOT))
-    t = _where(t, "”", lambda x: _far_pairs(x, "“", "”"))
-    t = _where(t, "„", lambda x: _rx(x, rf"[{_TERM}](?=[^“„]{{0,{_REACH}}}+“)(?![{_TERM}]*“)(?<=„[^“„]{{0,{_REACH}}})", DOT))
-    t = _where(t, "„", lambda x: _far_pairs(x, "„", "“"))
+    t = _mask_inside(t, "“„", "”")
+    t = _mask_inside(t, "„", "“")
     for o, c in [("«", "»"), ("‹", "›"), ("「", "」"), ("『", "』"), (OPEN, CLOSE), (r"(（", r")）"), (r"\[【", r"\]】")]:
         t = _mask_inside(t, o, c)
     return t

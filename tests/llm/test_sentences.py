@@ -61,3 +61,19 @@ def test_long_quotations_are_not_cut(spark, pair):
     inside = " ".join(f"Keep part {i} dry and clean. Do not paint it." for i in range(40))
     text = f"The label says {pair[0]}{inside}{pair[1]} in red."
     assert units(spark, f"{text} Next one.", f"One here. {text}") == [[text, "Next one."], ["One here.", text]]
+
+
+@pytest.mark.parametrize("n", [10, 380, 420, 5000])
+def test_pairs_of_any_length_and_marks_without_a_partner(spark, n):
+    fill = "x" * n
+    text = f'He says "Keep it dry. {fill} Do not paint." in red. Next one.'
+    assert units(spark, text) == [[text[:-10], "Next one."]]
+    assert units(spark, f"A ) mark. X{fill} More. End ) here.") == [["A ) mark.", f"X{fill} More.", "End ) here."]]
+    assert units(spark, f"An ( open mark. X{fill} more. End here.") == [["An ( open mark.", f"X{fill} more.", "End here."]]
+    nested = f"See (part one. [Note. {fill} It is.] And two. Three) now. Done."
+    assert units(spark, nested) == [[nested[:-6], "Done."]]
+
+
+def test_a_long_address_is_no_boundary(spark):
+    url = "https://a.b/" + "c.D?e!" * 200 + "f"
+    assert units(spark, f"See {url} first. Then go.") == [[f"See {url} first.", "Then go."]]
