@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TYPE_CHECKING
+
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +12,9 @@ from pyspark.sql.types import DoubleType
 
 from pricewright.runtime import ship
 
+if TYPE_CHECKING:
+    import numpy as np
+
 
 def lcs_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, 64 and more positions at a
@@ -30,6 +36,50 @@ def indel_ratio_of(a: str, b: str) -> float:
     return 100.0 if not total else 200.0 * lcs_length(a, b) / total
 
 
+def ratios(texts: list[str]) -> Callable[[str], np.ndarray]:
+    """A function from a text to its indel ratios with all of these, worked out
+    side by side: the bit-parallel row of every text is a machine word, and one
+    step takes the next character of all texts. Beyond 64 characters the words
+    are chained by their carries."""
+    import numpy as np
+
+    if not texts:
+        return lambda a: np.empty(0)
+    sizes = np.array([len(t) for t in texts])
+    codes = np.zeros((int(sizes.max(initial=0)), len(texts)), "int64")
+    alphabet: dict[str, int] = {}
+    for i, t in enumerate(texts):
+        for j, ch in enumerate(t):
+            codes[j, i] = alphabet.setdefault(ch, len(alphabet) + 1)
+
+    def score(a: str) -> np.ndarray:
+        words = max(1, -(-len(a) // 64))
+        where = np.zeros((words, len(alphabet) + 1), "uint64")
+        for i, ch in enumerate(a):
+            if ch in alphabet:
+                where[i // 64, alphabet[ch]] |= np.uint64(1 << i % 64)
+        rows = np.full((words, len(texts)), ~np.uint64(0), "uint64")
+        for step in codes:
+            carry = np.zeros(len(texts), "uint64")
+            for w in range(words):
+                row = rows[w]
+                hit = row & where[w][step]
+                total = row + hit
+                over = total < row
+                total += carry
+                over |= total < carry
+                rows[w] = total | (row - hit)
+                carry = over.astype("uint64")
+        rest = len(a) - 64 * (words - 1)
+        if rest < 64:
+            rows[-1] |= ~np.uint64((1 << rest) - 1)
+        common = np.bitwise_count(~rows).sum(axis=0, dtype="int64")
+        total = sizes + len(a)
+        return np.where(total == 0, 100.0, 200.0 * common / np.maximum(total, 1))
+
+    return score
+
+
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else indel_ratio_of(x, y) for x, y in zip(a, b)], dtype="float64")

@@ -73,12 +73,85 @@ def weak_pages(pages: DataFrame, found: DataFrame, least: int = 5) -> DataFrame:
 def extraction_quality(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Items per method with their mean trust, and the method's share times its weight."""
     w = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
-    total = Window.partitionBy(F.lit(1))
     m = df.groupBy("method").agg(F.count("*").alias("items"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.count_if(F.col("confidence") >= 0.8).alias("high"), F.count_if(F.col("confidence") < 0.6).alias("low"))
-    share = F.col("items") / F.sum("items").over(total)
+    # Methods are named by the data; their sum is a subquery, not a window.
+    share = F.col("items") / m.agg(F.sum("items")).scalar()
     return m.withColumn("weighted", F.round(share * F.coalesce(F.try_element_at(w, F.col("method")), F.lit(0.3)), 6))
 
 
+def quality_summary(df: DataFrame, weights: dict[str, float], first: int = 10) -> DataFrame:
+    """One row on a whole extraction: items, quality (six to four of the methods'
+    weights and the mean confidence), confidences in three bands, the first low
+    items by pos, and what to do about it."""
+    w = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
+    c = F.col("confidence")
+    n = F.count("*")
+    low = df.where(c < 0.5).orderBy("pos").limit(first).agg(F.array_sort(F.collect_list(F.struct("pos", "sku"))).alias("i")).select(F.transform("i", lambda x: x["sku"])).scalar()
+    d = df.agg(
+        n.alias("items"), F.avg(F.coalesce(F.try_element_at(w, F.col("method")), F.lit(0.3))).alias("weighted"), F.coalesce(F.avg(c), F.lit(0.0)).alias("mean_confidence"), F.count_if(c >= 0.8).alias("high"),
+        F.count_if((c >= 0.6) & (c < 0.8)).alias("medium"), F.count_if(c < 0.6).alias("low"), F.count_if(c < 0.5).alias("issues"),
+        F.count_if(F.col("method") == "ocr_tesseract").alias("scanned"), F.count_if(F.col("method") == "failed").alias("failed"),
+    )
+    advice = F.array_compact(F.array(
+        F.when(F.col("scanned") > F.col("items") * 0.5, "scan_in_higher_resolution"), F.when(F.col("failed") > 0, "check_files_that_failed"),
+        F.when(F.col("mean_confidence") < 0.6, "review_by_hand"), F.when(F.col("issues") > F.col("items") * 0.2, "review_input_and_configuration"),
+    ))
+    return d.select(
+        "items", F.round(F.coalesce("weighted", F.lit(0.0)) * 0.6 + F.col("mean_confidence") * 0.4, 6).alias("quality"), F.round("mean_confidence", 6).alias("mean_confidence"), "high", "medium", "low", "issues",
+        F.array_join(low, ",").alias("first_issues"), F.array_join(advice, ",").alias("advice"),
+    )
+
+
+def merge_options(df: DataFrame, fields: list[str]) -> DataFrame:
+    """One row per option code: each field from the most trusted source that has
+    it, the mean of all amounts, confidence raised where sources agree."""
+    key = F.upper(F.trim("option_code"))
+    a = F.col("adder_value").cast("double")
+    m = df.where(F.coalesce(key, F.lit("")) != "").groupBy(key.alias("option_key")).agg(
+        *(_first(f) for f in fields), F.avg(a).alias("adder_value"), F.count(a).alias("adder_sources"), F.count("*").alias("sources"), F.max("confidence").alias("best"),
+    )
+    boost = F.when(F.col("sources") == 1, 0.0).when(F.col("sources") == 2, 0.08).otherwise(0.10)
+    return m.select("option_key", *fields, F.round("adder_value", 4).alias("adder_value"), "adder_sources", "sources", F.round(F.least(F.lit(1.0), F.col("best") + boost), 6).alias("confidence"))
+
+
+def layer_boost(df: DataFrame) -> DataFrame:
+    """Rows with their confidence raised by the number of layers that found their sku."""
+    n = df.where("sku is not null").groupBy("sku").agg(F.count_distinct("layer").alias("_n"))
+    boost = F.when(F.col("_n") >= 3, 0.08).when(F.col("_n") == 2, 0.05).otherwise(0.0)
+    return df.join(n, "sku", "left").withColumn("confidence", F.least(F.lit(1.0), F.col("confidence") + F.coalesce(boost, F.lit(0.0)))).drop("_n")
+
+
+def result_validation(df: DataFrame) -> DataFrame:
+    """One row: items, the share with a confidence from 0.8 on, a label, and warnings."""
+    n, c = F.count("*"), F.col("confidence")
+    d = df.agg(n.alias("items"), F.count_if(c >= 0.8).alias("sure"), F.count_if(F.col("base_price").isNull()).alias("unpriced"), F.count_if(F.coalesce(F.trim("sku"), F.lit("")) == "").alias("unnamed"))
+    rate = F.when(F.col("items") > 0, F.col("sure") / F.col("items")).otherwise(0.0)
+    label = F.when(rate >= 0.9, "excellent").when(rate >= 0.7, "good").when(rate >= 0.5, "fair").otherwise("poor")
+    warnings = F.array_compact(F.array(F.when(F.col("items") == 0, "no_items"), F.when(F.col("unpriced") > 0, "items_without_price"), F.when(F.col("unnamed") > 0, "items_without_sku"), F.when(rate < 0.7, "low_confidence")))
+    return d.select("items", F.round(rate, 6).alias("sure_rate"), label.alias("label"), F.array_join(warnings, ",").alias("warnings"))
+
+
+def failed_pages(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """Pages on which nothing was found."""
+    return pages.select("page").distinct().join(found.select("page"), "page", "left_anti")
+
+
+def options_of_golden(found: DataFrame, golden: DataFrame, key: str = "option_code", order: str = "pos") -> DataFrame:
+    """(key, found_code) of golden option codes: the first found code that holds
+    it or that it holds. Codes are probed by all their substrings, an equi-join;
+    a code is short."""
+    def parts(c: str) -> Column:
+        n = F.length(c)
+        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col(c), i, k)))))
+
+    f = found.where(F.length(key) > 0).select(F.col(key).alias("found_code"), F.col(order).alias("_o"))
+    g = golden.where(F.length(key) > 0).select(key).distinct()
+    inside = g.select(key, F.explode(parts(key)).alias("found_code")).join(f, "found_code")
+    around = f.select("found_code", "_o", F.explode(parts("found_code")).alias(key)).join(g, key)
+    best = inside.select(key, "found_code", "_o").unionByName(around.select(key, "found_code", "_o")).groupBy(key).agg(F.min(F.struct("_o", "found_code")).alias("b"))
+    return golden.select(key).distinct().join(best.select(key, F.col("b.found_code").alias("found_code")), key, "left")
+
+
 def accuracy(found: DataFrame, golden: DataFrame, key: str, value: str, tolerance: float = 0.01) -> DataFrame:
     """Rows of a golden table that were found, and of those the values that hold."""
     f = found.select(key, F.col(value).alias("_got"), F.lit(True).alias("_there"))

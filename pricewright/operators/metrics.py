@@ -33,9 +33,7 @@ def rates(events: DataFrame, group: str, ok: Column) -> DataFrame:
 def recent(events: DataFrame, ts: str, minutes: int, until: Column | None = None) -> DataFrame:
     """Events of the last minutes before `until`, or before the last event."""
     if until is None:
-        last = events.agg(F.max(ts).alias("_until"))
-        d = events.join(F.broadcast(last), F.col(ts) >= F.col("_until") - F.expr(f"INTERVAL {minutes} MINUTES"))
-        return d.drop("_until")
+        return events.where(F.col(ts) >= events.agg(F.max(ts)).scalar() - F.expr(f"INTERVAL {minutes} MINUTES"))
     return events.where((F.col(ts) >= until - F.expr(f"INTERVAL {minutes} MINUTES")) & (F.col(ts) <= until))
 
 

@@ -8,22 +8,10 @@ from pyspark.sql import functions as F
 from pricewright.functions import classify, keys, normalize, scoring
 from pricewright.operators import grid, lines, lookups, merge, metrics, publish
 from pricewright.plans.inputs import derived, oracle
+from pricewright.plans.registry import registry
 from pricewright.runtime import table
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query, with its SQL where there is one."""
-
-    def wrap(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return wrap
+QUERIES, ORACLE, query = registry()
 
 
 # --- lookups -----------------------------------------------------------------
@@ -91,15 +79,15 @@ def option_summary(spark: SparkSession, d: str) -> DataFrame:
     own = o.where("product_id is not null").groupBy("product_id").agg(F.count("*").alias("n"))
     p = table(spark, d, "products").select(F.col("id").alias("product_id"), "price_book_id").distinct()
     by_book = p.join(own, "product_id").groupBy("price_book_id").agg(F.sum("n").alias("own_options"))
-    everywhere = F.broadcast(o.where("product_id is null").agg(F.count("*").alias("global_options")).withColumn("one", F.lit(1)))
-    b = table(spark, d, "price_books").select(F.col("id").alias("price_book_id")).distinct().withColumn("one", F.lit(1))
-    return b.join(by_book, "price_book_id", "left").join(everywhere, "one").select("price_book_id", F.coalesce("own_options", F.lit(0)).alias("own_options"), "global_options")
+    everywhere = o.where("product_id is null").agg(F.count("*")).scalar()
+    b = table(spark, d, "price_books").select(F.col("id").alias("price_book_id")).distinct()
+    return b.join(by_book, "price_book_id", "left").select("price_book_id", F.coalesce("own_options", F.lit(0)).alias("own_options"), everywhere.alias("global_options"))
 
 
-@query("SELECT s_nationkey AS key, CASE WHEN c.k IS NULL THEN 'old' ELSE 'both' END AS side FROM (SELECT DISTINCT s_nationkey FROM supplier) s LEFT JOIN (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9000) c ON k = s_nationkey UNION ALL SELECT DISTINCT c_nationkey, 'new' FROM customer WHERE c_acctbal > 9000 AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+@query("SELECT s_nationkey AS key, CASE WHEN c.k IS NULL THEN 'old' ELSE 'both' END AS side FROM (SELECT DISTINCT s_nationkey FROM supplier) s LEFT JOIN (SELECT DISTINCT c_nationkey AS k FROM customer) c ON k = s_nationkey UNION ALL SELECT DISTINCT c_nationkey, 'new' FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
 def set_sides(spark: SparkSession, d: str) -> DataFrame:
     """Keys of two tables: in the one, the other or both."""
-    return lookups.set_sides(table(spark, d, "supplier").select(F.col("s_nationkey").alias("key")), table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("key")), "key")
+    return lookups.set_sides(table(spark, d, "supplier").select(F.col("s_nationkey").alias("key")), table(spark, d, "customer").select(F.col("c_nationkey").alias("key")), "key")
 
 
 @query("SELECT p_brand, p_type, min(p_partkey) AS p_partkey FROM part WHERE p_brand || p_type NOT IN (SELECT p_brand || p_type FROM part WHERE p_size < 10) GROUP BY 1, 2")
@@ -160,9 +148,9 @@ def weak_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT method, count(*) AS items, round(avg(confidence), 6) AS mean_confidence, count_if(confidence >= 0.8) AS high, count_if(confidence < 0.6) AS low,
-  round(count(*) / sum(count(*)) OVER () * CASE method WHEN 'text' THEN 0.9 WHEN 'table' THEN 0.85 WHEN 'model' THEN 0.7 ELSE 0.3 END, 6) AS weighted FROM (SELECT * REPLACE (confidence AS confidence) FROM {_L}) GROUP BY method""")
+  round(count(*) / sum(count(*)) OVER () * CASE method WHEN 'pdfplumber_digital' THEN 0.95 WHEN 'camelot_lattice' THEN 0.85 WHEN 'ocr_tesseract' THEN 0.5 ELSE 0.3 END, 6) AS weighted FROM (SELECT * REPLACE (confidence AS confidence) FROM {_L}) GROUP BY method""")
 def extraction_quality(spark: SparkSession, d: str) -> DataFrame:
-    return merge.extraction_quality(_layers(spark, d), scoring.METHODS)
+    return merge.extraction_quality(_layers(spark, d), scoring.PROVENANCE)
 
 
 @query(f"""WITH g AS (SELECT {_KEY} AS k, base_price AS p FROM {_L} WHERE layer = 1), f AS (SELECT {_KEY} AS k, base_price AS p FROM {_L} WHERE layer = 2)
@@ -290,11 +278,6 @@ def cell_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return grid.neighbours(derived(spark, d, "cells"), F.col("cell").rlike("^[A-Z]$"))
 
 
-@query(f"SELECT table_id, col_index, CASE WHEN a IS NULL THEN b WHEN b IS NULL OR a = b THEN a ELSE a || ' ' || b END AS header FROM (SELECT table_id, col_index, max(trim(cell)) FILTER (row_index = 0 AND NOT {_BLANK}) AS a, max(trim(cell)) FILTER (row_index = 1 AND NOT {_BLANK}) AS b FROM {_C} GROUP BY 1, 2) WHERE a IS NOT NULL OR b IS NOT NULL")
-def welded_headers(spark: SparkSession, d: str) -> DataFrame:
-    return grid.weld_header(derived(spark, d, "cells"))
-
-
 _T = oracle("tall_cells")
 _TALL_TYPES = f"(SELECT table_id, col_index, count(*) AS filled, count({_NUM}) AS numeric, CASE WHEN count({_NUM}) > count(*) * 0.7 THEN 'number' ELSE 'text' END AS kind FROM (SELECT * FROM {_T} WHERE NOT {_BLANK} QUALIFY row_number() OVER (PARTITION BY table_id, col_index ORDER BY row_index) <= 10) GROUP BY 1, 2)"
 
@@ -319,13 +302,6 @@ def tall_headers(spark: SparkSession, d: str) -> DataFrame:
     return grid.weld_headers(derived(spark, d, "tall_cells"))
 
 
-@query()
-def stitched_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Tables put together over pages; the fold has a run's head as its state."""
-    t = grid.table_profile(derived(spark, d, "cells"))
-    return grid.stitch(t.select(F.floor(F.col("table_id") / 20).alias("doc_id"), "table_id", (F.col("table_id") % 20).cast("int").alias("page"), "fingerprint", F.col("cols").cast("int").alias("cols"), (F.col("completeness") > 0.8).alias("has_header")))
-
-
 @query()
 def scanned_lines(spark: SparkSession, d: str) -> DataFrame:
     """Words put to lines; the fold has a line's head as its state."""
@@ -377,7 +353,7 @@ def scan_substitutions(spark: SparkSession, d: str) -> DataFrame:
     return metrics.corrections(s, "read", "meant")
 
 
-@query(f"SELECT layer, pos, CASE WHEN confidence >= 0.9 THEN 'high' WHEN confidence >= 0.7 THEN 'medium' WHEN confidence >= 0.5 THEN 'low' ELSE 'very_low' END AS level, round(least(1.0, CASE method WHEN 'text' THEN 0.9 WHEN 'table' THEN 0.85 ELSE 0.7 END * 0.7 + confidence * 0.3), 6) AS score FROM {_L}")
+@query(f"SELECT layer, pos, CASE WHEN confidence >= 0.9 THEN 'high' WHEN confidence >= 0.7 THEN 'medium' WHEN confidence >= 0.5 THEN 'low' ELSE 'very_low' END AS level, round(least(1.0, CASE method WHEN 'pdfplumber_digital' THEN 0.95 WHEN 'camelot_lattice' THEN 0.9 ELSE 0.5 END * 0.7 + confidence * 0.3), 6) AS score FROM {_L}")
 def confidence_levels(spark: SparkSession, d: str) -> DataFrame:
     df = _layers(spark, d)
     return df.select("layer", "pos", scoring.level(F.col("confidence")).alias("level"), F.round(scoring.method_score(F.col("method"), F.col("confidence")), 6).alias("score"))

@@ -84,3 +84,49 @@ def test_options(spark):
     new = spark.createDataFrame([(1, "EPT", 27.5), (2, "CTW", 35.5), (3, "NEW", 45.0), (4, "N", None)], s)
     got = {(r.option_code, r.change) for r in diff.keyed_changes(old, new, "option_code", "amount").collect()}
     assert got == {("EPT", "changed"), ("REMOVED", "removed"), ("NEW", "added")}
+
+
+def _greedy(old, new, threshold=70.0):
+    """Brute force: rows in order take the best of their three best partners that is free."""
+    taken, out = set(), {}
+    for i, o in enumerate(old):
+        best = sorted(((-similarity.indel_ratio_of(o, n), j) for j, n in enumerate(new)))
+        for s, j in [(s, j) for s, j in best if -s >= threshold][:3]:
+            if j not in taken:
+                taken.add(j)
+                out[i] = j
+                break
+    return out
+
+
+@pytest.mark.parametrize("chunk", [3, 1024])
+def test_matching_is_the_greedy_one(spark, monkeypatch, chunk):
+    import random
+
+    monkeypatch.setattr(diff, "CHUNK", chunk)
+    rnd = random.Random(chunk)
+    names = lambda k: [f"AB{rnd.randrange(30):02}{rnd.choice('XYZ')}{rnd.choice('QRS')}{k}" for _ in range(40)]
+    a, b = names("O"), list(dict.fromkeys(names("N")))
+    old, new = (book(spark, [("h", "f", None, m, None, None, None, 1.0) for m in side]) for side in (a, b))
+    got = {r.o.pos: r.n.pos for r in diff.matches(old, new).where("method = 'fuzzy'").collect()}
+    assert got == _greedy([f"{m} F" for m in a], [f"{m} F" for m in b])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abc", max_size=150), min_size=1, max_size=6), st.text("abcd", max_size=150))
+def test_ratios_side_by_side(texts, a):
+    assert list(similarity.ratios(texts)(a)) == pytest.approx([similarity.indel_ratio_of(a, t) for t in texts])
+
+
+def test_sku_changes(spark):
+    s = "pos int, manufacturer string, sku string, model string, description string, base_price double, is_active boolean"
+    old = spark.createDataFrame([(1, "h", "AB100", "AB", "hinge", 10.0, True), (2, "h", "CD200", "CD", "pin", 5.0, True), (3, "h", "ZZ1", "Z", "q", None, None), (4, "h", "EF300-1", "EF300", "gear hinge", 1.0, True)], s)
+    new = spark.createDataFrame([(1, "h", "AB100", "AB", "hinge", 12.0, False), (2, "h", "XY9", "X", "w", 5.0, True), (3, "h", "ZZ1", "Z", "q", None, None), (4, "h", "EF300-2", "EF300", "gear hinge", 1.0, True), (5, "other", "EF300-3", "EF300", "gear hinge", 1.0, True)], s)
+    got = sorted((r.sku, r.change, r.old_value, r.new_value) for r in diff.sku_changes(old, new, block="manufacturer").collect())
+    assert got == [
+        ("AB100", "price_change", "10.0", "12.0"), ("AB100", "status_change", "true", "false"), ("CD200", "retired_product", "CD200", None), ("EF300-2", "fuzzy_match", "EF300-1", "EF300-2"), ("EF300-2", "fuzzy_match", "EF300-1", "EF300-2"),
+        ("EF300-3", "new_product", None, "EF300-3"), ("XY9", "new_product", None, "XY9"),
+    ]
+    one = diff.sku_changes(old, new, block="manufacturer", second_pass=False)
+    assert diff.sku_summary(one).first().asDict()["fuzzy_match"] == 1
+    assert diff.sku_changes(old.limit(0), new.limit(0), block="manufacturer").count() == 0

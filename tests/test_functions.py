@@ -63,5 +63,25 @@ def test_keys(spark):
 
 def test_scores(spark):
     assert spark.range(1).select(scoring.level(F.lit(0.95)).alias("x")).first().x == "high"
-    assert one(spark, scoring.sku_score, "BB1100") == 1.0
+    assert one(spark, scoring.sku_score, "BB1100") == pytest.approx(0.7)
+    assert one(spark, lambda c: scoring.sku_score(c, "hager"), "BB1100") == pytest.approx(0.9)
     assert one(spark, scoring.sku_score, None) == 0.0
+
+
+@pytest.mark.parametrize(
+    "score,text,want",
+    [
+        (scoring.price_score, "$125.50", 0.7), (scoring.price_score, "1,250.00", 0.7), (scoring.price_score, "99999", 0.5), (scoring.price_score, "call", 0.0), (scoring.price_score, None, 0.0), (scoring.price_score, "0", 0.1),
+        (scoring.date_score, "Effective March 3, 2024", 1.0), (scoring.date_score, "1/2/24", 0.6), (scoring.date_score, "2011", 0.0), (scoring.date_score, "", 0.0),
+        (lambda c: scoring.field_score("sku", c, F.lit("layer2_camelot")), "SL100-US26D", 0.7 * 0.4 + 0.95 * 0.3 + 0.9 * 0.2 + 0.09),
+        (lambda c: scoring.field_score("description", c, F.lit("?"), F.lit(0.5)), "ab", 0.5 * 0.4 + 0.4 * 0.3 + 0.6 * 0.2 + 0.07),
+        (lambda c: scoring.product_score(c, F.lit(12.0), F.lit("US3"), F.lit(None).cast("string"), F.lit("hinge")), "BB1100", 1.0), (lambda c: scoring.product_score(c, F.lit(None).cast("double"), F.lit(""), F.lit(""), F.lit("")), "B1", 0.0),
+    ],
+)
+def test_scorers(spark, score, text, want):
+    assert one(spark, score, text) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("sku,ok", [("BB1100", True), ("MARCH 9", False), ("2020", False), ("AB", False), (None, False), ("--- ", False), ("price", False), ("x" * 31, False), ("A-1", True)])
+def test_valid_skus(spark, sku, ok):
+    assert one(spark, scoring.valid_sku, sku) is ok

@@ -35,9 +35,12 @@ def test_grid_folds(spark):
     assert [(r.head_row, r.last_row) for r in grid.merged_regions(c).collect()] == [(1, 3)]
     w = spark.createDataFrame([(1, i, t, 0) for i, t in enumerate([0, 4, 10, 12, 30])], "page int, word_no long, top_ int, left_ int")
     assert [r.line_no for r in grid.word_lines(w).orderBy("word_no").collect()] == [0, 0, 0, 1, 2]
-    t = spark.createDataFrame([(1, 1, p, f, n, True) for p, f, n in [(1, "x", 3), (2, "x", 3), (3, "y", 4), (5, "x", 3), (6, "z", 9)]], "doc_id int, d int, page int, fingerprint string, cols int, has_header boolean")
+    # The head of a run decides: same fingerprint, same names, or seven of ten columns of the same kind.
+    told = [(1, "x", "a|b", "NT", 2), (2, "y", "a|b", "TT", 0), (3, "x", "q", "N", 0), (5, "z", "c|d|e", "TTN", 0), (6, "w", "f|g|h", "TNN", 0), (7, "v", "i|j|k", "TNN", 0), (8, "v2", "l|m|n", "TNN", 2), (9, None, None, None, None)]
+    t = spark.createDataFrame([(1, 1, p, f, n, k, r) for p, f, n, k, r in told], "doc_id int, d int, page int, fingerprint string, names string, patterns string, header_rows int")
     got = grid.stitch(t.withColumn("table_id", F.col("page").cast("long"))).orderBy("table_id").collect()
-    assert [r.group_id for r in got] == [0, 0, 0, 1, 2]
+    assert [r.group_id for r in got] == [0, 0, 0, 1, 2, 2, 3, 4]
+    assert grid.stitch(t.limit(0).withColumn("table_id", F.lit(1))).count() == 0
 
 
 def test_unpivot_and_types(spark):
