@@ -141,10 +141,9 @@ def merged_by_price(spark: SparkSession, d: str) -> DataFrame:
     return merge.by_price(_layers(spark, d))
 
 
-@query(f"SELECT p.page, coalesce(n, 0) AS found FROM (SELECT DISTINCT page FROM {_L}) p LEFT JOIN (SELECT page, count(*) AS n FROM {_L} WHERE layer = 1 AND page % 3 <> 0 GROUP BY 1) f ON p.page = f.page WHERE coalesce(n, 0) < 40")
+@query(f"SELECT p.page, coalesce(n, 0) AS found FROM (SELECT DISTINCT page FROM {_L}) p LEFT JOIN (SELECT page, count(*) AS n FROM {oracle('found_items')} GROUP BY 1) f ON p.page = f.page WHERE coalesce(n, 0) < 30")
 def weak_pages(spark: SparkSession, d: str) -> DataFrame:
-    df = _layers(spark, d)
-    return merge.weak_pages(df, df.where("layer = 1 and page % 3 <> 0"), 40)
+    return merge.weak_pages(_layers(spark, d), derived(spark, d, "found_items"), 30)
 
 
 @query(f"""SELECT method, count(*) AS items, round(avg(confidence), 6) AS mean_confidence, count_if(confidence >= 0.8) AS high, count_if(confidence < 0.6) AS low,
@@ -153,11 +152,11 @@ def extraction_quality(spark: SparkSession, d: str) -> DataFrame:
     return merge.extraction_quality(_layers(spark, d), scoring.PROVENANCE)
 
 
-@query(f"""WITH g AS (SELECT {_KEY} AS k, base_price AS p FROM {_L} WHERE layer = 1), f AS (SELECT {_KEY} AS k, base_price AS p FROM {_L} WHERE layer = 2)
-SELECT count(*) AS golden, count(f.k) AS found, count_if(f.k IS NOT NULL AND abs(f.p - g.p) <= 5) AS "right", round(count(f.k) / count(*), 6) AS row_accuracy FROM g LEFT JOIN f ON g.k = f.k""")
+@query(f"""WITH f AS (SELECT {_KEY} AS k, arg_max(base_price, (coalesce(base_price, -1), pos)) AS p FROM {_L} GROUP BY 1)
+SELECT count(*) AS golden, count(f.k) AS found, count_if(f.k IS NOT NULL AND abs(f.p - g.base_price) <= 5) AS "right", round(count(f.k) / count(*), 6) AS row_accuracy FROM {oracle("golden_items")} g LEFT JOIN f ON g.k = f.k""")
 def golden_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    df = _layers(spark, d).withColumn("k", merge.item_key(F.col("sku")))
-    return merge.accuracy(df.where("layer = 2"), df.where("layer = 1"), "k", "base_price", 5.0)
+    """The dearest extraction of each item against golden values."""
+    return merge.accuracy(merge.by_price(_layers(spark, d)).withColumnRenamed("item_key", "k"), derived(spark, d, "golden_items"), "k", "base_price", 5.0)
 
 
 # --- lines of text -----------------------------------------------------------

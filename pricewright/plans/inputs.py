@@ -39,6 +39,9 @@ FROM ({_PART}) WHERE pos % 50 <> 11""",
 SELECT 1 AS layer, p_partkey AS pos, 'P-' || p_partkey AS sku, cast(p_retailprice AS double) AS base_price, p_name AS description, cast(NULL AS string) AS finish, 'pdfplumber_digital' AS method, cast(70 + p_partkey % 20 AS double) / 100 AS confidence, p_partkey % 40 AS page FROM {part} WHERE p_partkey % 4 <> 1
 UNION ALL SELECT 2, 10000000 + p_partkey, 'p ' || p_partkey, round(cast(p_retailprice AS double) * CASE WHEN p_partkey % 9 = 0 THEN 1.2 ELSE 1.004 END, 2), CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_name END, 'US' || (p_partkey % 30), 'camelot_lattice', cast(60 + p_partkey % 30 AS double) / 100, p_partkey % 40 FROM {part} WHERE p_partkey % 3 <> 2
 UNION ALL SELECT 3, 20000000 + p_partkey, 'P_' || p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE cast(p_retailprice AS double) END, p_name, cast(NULL AS string), 'ocr_tesseract', cast(50 + p_partkey % 40 AS double) / 100, p_partkey % 40 FROM {part} WHERE p_partkey % 5 <> 3""",
+    # What was found on pages, little on some and nothing on others; and what should have been.
+    "found_items": "SELECT p_partkey AS pos, p_partkey % 40 AS page FROM {part} WHERE p_partkey % 40 % 7 <> 3 AND (p_partkey % 40 % 5 <> 1 OR p_partkey % 9 = 0)",
+    "golden_items": "SELECT 'P' || p_partkey AS k, cast(p_retailprice AS double) + CASE WHEN p_partkey % 13 = 0 THEN 9.0 ELSE 0.0 END AS base_price FROM {part} WHERE p_partkey % 10 <> 6 UNION ALL SELECT 'Q' || s_suppkey, 5.0 FROM {supplier}",
     # One text line per part, as catalogs print them.
     "lines": """
 SELECT p_partkey AS line_no, p_partkey % 50 AS page_number,
