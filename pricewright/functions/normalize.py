@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,10 +71,21 @@ def sku(c: Column, maker: str | None = None) -> Column:
     return F.coalesce(*tries, F.when(F.length(rest).between(2, 20), rest))
 
 
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression that reads another several times, which is worked out once."""
+    return F.element_at(F.transform(F.array(c), lambda x: use(x)), 1)
+
+
+def _dated(text: Column, fmt: str) -> Column:
+    """A date in a format; years of two digits from 69 on are of the last century."""
+    d = F.call_function("try_to_date", text, F.lit(fmt))
+    return d if "yyyy" in fmt else F.when(F.year(d) > 2068, F.add_months(d, -1200)).otherwise(d)
+
+
 def date(c: Column) -> Column:
     """A date named after "effective", in figures, or with its month in words."""
     found = F.coalesce(_got(c, r"(?i)effective\s+(\w+\s+\d{1,2},?\s+\d{4})"), _got(c, r"(\d{4}-\d{2}-\d{2})"), _got(c, r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"), _got(c, r"(\w+\s+\d{1,2},?\s+\d{4})"))
-    return F.coalesce(*(F.call_function("try_to_date", F.initcap(found), F.lit(f)) for f in DATE_FORMATS))
+    return _once(found, lambda x: F.coalesce(*(_dated(F.initcap(x), f) for f in DATE_FORMATS)))
 
 
 def finish(c: Column) -> Column:
@@ -151,3 +164,126 @@ def text_quality(c: Column) -> Column:
     bad = F.least(F.lit(0.3), F.regexp_count(c, F.lit("[|§¦¨©«»°±²³]")) / F.length(c))
     score = good / F.greatest(F.lit(1), F.size(words)) * 0.6 + F.least(F.lit(1.0), mean / 50) * 0.4 - bad
     return F.when(F.coalesce(F.length(c), F.lit(0)) == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+
+
+def finish_entry(c: Column) -> Column:
+    """(code, bhma, name) of a finish by its code or one of its other names; what
+    isn't known keeps its code alone."""
+    table = F.create_map(*(F.lit(x) for k, (name, alts) in FINISHES.items() for a in (k, *alts) for x in (a, f"{k}|{name}")))
+    t = F.nullif(F.upper(F.trim(c)), F.lit(""))
+    v = F.split(F.try_element_at(table, t), r"\|")
+    return F.struct(t.alias("code"), v[0].alias("bhma"), v[1].alias("name"))
+
+
+# Confidence of a normalised value that came out and of one that did not.
+NORMALISED = {"price": (0.9, 0.3), "sku": (0.9, 0.4), "date": (0.95, 0.2)}
+
+
+def normalised_score(value: Column, kind: str) -> Column:
+    """Confidence in a normalised value of a kind."""
+    good, bad = NORMALISED.get(kind, (0.5, 0.5))
+    there = value.isNotNull() & (value != 0) if kind == "price" else value.isNotNull()
+    return F.when(F.coalesce(there, F.lit(False)), good).otherwise(bad)
+
+
+def loose_price(c: Column) -> Column:
+    """A price whose comma may be a decimal mark: it is one if it is the only mark
+    and has one or two digits behind it."""
+    t = F.regexp_replace(c, r"[^\d.,-]", "")
+    parts = F.split(t, ",")
+    mark = (F.size(parts) == 2) & (F.length(F.element_at(parts, -1)) <= 2) & ~F.contains(t, F.lit("."))
+    return F.when(mark, F.replace(t, F.lit(","), F.lit("."))).otherwise(F.replace(t, F.lit(","), F.lit(""))).try_cast("double")
+
+
+def loose_sku(c: Column) -> Column:
+    """A sku in capitals without marks at its ends; empty for none."""
+    return F.coalesce(F.regexp_replace(F.regexp_replace(F.upper(F.trim(c)), r"(?U)^[^\w-]+", ""), r"(?U)[^\w-]+$", ""), F.lit(""))
+
+
+# Where a text names its effective date in figures, in this order.
+DATE_PLACES = [r"effective\s+date[:\s]+(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", r"effective[:\s]+(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", r"prices\s+effective[:\s]+(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"]
+FIGURES = ["MM/dd/yyyy", "MM-dd-yyyy", "yyyy-MM-dd", "MM/dd/yy", "MM-dd-yy"]
+
+
+def date_in(text: Column) -> Column:
+    """The effective date a text names in figures, as written."""
+    return F.coalesce(*(_got(text, "(?i)" + p) for p in DATE_PLACES))
+
+
+def date_or(c: Column, other: Column) -> Column:
+    """A date in figures, or another where there is a text that isn't one."""
+    pad = F.regexp_replace(F.regexp_replace(F.trim(c), r"^(\d)([/-])", "0$1$2"), r"([/-])(\d)([/-])", "$10$2$3")
+    forms = list(zip(FIGURES, (r"^\d\d/\d\d/\d{4}$", r"^\d\d-\d\d-\d{4}$", r"^\d{4}-\d\d-\d\d$", r"^\d\d/\d\d/\d\d$", r"^\d\d-\d\d-\d\d$")))
+    read = _once(pad, lambda x: F.coalesce(*(F.when(x.rlike(rx), _dated(x, f)) for f, rx in forms)))
+    return F.when(F.coalesce(c, F.lit("")) != "", F.coalesce(read, other))
+
+
+# Units as texts spell them out, and their marks.
+UNIT_WORDS = [(r"\binches?\b", "in"), (r"\bfeet\b", "ft"), (r"\bpounds?\b", "lbs"), (r"\bkilograms?\b", "kg")]
+
+
+def spacing(c: Column) -> Column:
+    """Amounts closed up and units by their marks."""
+    t = F.regexp_replace(c, r"\$\s+", r"\$")
+    t = F.regexp_replace(F.regexp_replace(t, r"(\d)\s*,\s*(\d{3})", "$1,$2"), r"(\d)\s+\.(\d{2})", "$1.$2")
+    for rx, mark in UNIT_WORDS:
+        t = F.regexp_replace(t, "(?i)" + rx, mark)
+    return t
+
+
+# Makers that are known by a word in their texts, in this order.
+MAKERS = ["select", "hager", "continental", "lockey", "alarlock", "dorma", "assa abloy", "yale", "schlage", "kwikset"]
+
+
+def maker_in(text: Column) -> Column:
+    """The first of the known makers a text names, or unknown."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.coalesce(*(F.when(F.contains(low, F.lit(m)), m) for m in MAKERS), F.lit("unknown"))
+
+
+def looks_like_sku(c: Column) -> Column:
+    """Whether a cell looks like a sku: capitals, then digits."""
+    return F.coalesce((F.length(c) >= 3) & F.upper(c).rlike(r"^BB\d+|^BBH\d+|^[A-Z]{2,3}\d+|^[A-Z]+\d+[A-Z]*"), F.lit(False))
+
+
+def looks_like_price(c: Column) -> Column:
+    """Whether a cell looks like a price."""
+    return F.coalesce(c.rlike(r"^\$?\d+\.?\d*$|^\$?\d{1,3}(,\d{3})*(\.\d{1,2})?$"), F.lit(False))
+
+
+def model_of(sku: Column) -> Column:
+    """A sku without the finish at its end."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(sku, F.lit("")), r"-US\d+[A-Z]*$", ""), "-+$", "")
+
+
+def finish_in(sku: Column) -> Column:
+    """The first of the known finishes a sku holds."""
+    up = F.upper(sku)
+    return F.coalesce(*(F.when(F.contains(up, F.lit(k)), k) for k in FINISHES))
+
+
+# Sizes and finishes as lines name them, in this order.
+SIZES = [r"(\d+\.?\d*\s*x\s*\d+\.?\d*)", r"(\d+\"\s*x\s*\d+\")", r"(\d+\.?\d*)\s*(?:in|inch|mm|cm)"]
+FINISH_WORDS = [r"\bUS\s*\d+[A-Z]?\b", r"\b[A-Z]{2,3}\b", r"\bBHMA\s*\d+[A-Z]?\b"]
+
+
+def size_in(text: Column) -> Column:
+    """The first size of a text, the first notation first."""
+    return F.trim(F.coalesce(*(_got(text, "(?i)" + p, 1) for p in SIZES)))
+
+
+def finishes_in(text: Column) -> Column:
+    """All finishes of a text, each once, sorted. The second notation is any word
+    of two or three letters, as catalogs print codes."""
+    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(0)) for p in FINISH_WORDS)))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.trim(x))))
+
+
+# Kinds of errors by words in their names.
+ERRORS = {"validation": "valid|value|not_?found|missing", "security": "permission|auth", "network": "timeout|connection|http", "parsing": "parse|pdf|extract", "database": "sql|database|integrity"}
+
+
+def error_category(name: Column) -> Column:
+    """The category of an error by its name."""
+    low = F.lower(name)
+    return F.coalesce(*(F.when(low.rlike(rx), k) for k, rx in ERRORS.items()), F.lit("unknown"))

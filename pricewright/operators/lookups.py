@@ -64,3 +64,22 @@ def set_sides(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     b = new.select(key).distinct().withColumn("_n", F.lit(True))
     side = F.when(F.col("_n").isNull(), "old").when(F.col("_o").isNull(), "new").otherwise("both")
     return a.join(b, key, "full").select(key, side.alias("side"))
+
+
+def envelope(df: DataFrame, order: Sequence[Column], number: int, size: int, key: str) -> DataFrame:
+    """A page with its envelope: (page, total, total_pages, has_next, has_previous,
+    ids), the keys of the page in order."""
+    n = df.agg(F.count("*")).scalar()
+    rows = page(df, order, number, size).agg(F.array_join(F.collect_list(F.col(key).cast("string")), ",").alias("ids"))
+    pages = F.ceil(n / size)
+    return rows.select(F.lit(number).alias("page"), n.alias("total"), pages.alias("total_pages"), (F.lit(number) < pages).alias("has_next"), F.lit(number > 1).alias("has_previous"), "ids")
+
+
+def search(df: DataFrame, word: str, columns: Sequence[str], by: str, tie: str, size: int) -> DataFrame:
+    """The first rows with a word in one of the columns, regardless of case, sorted
+    by the number in a column, where there is none by its letters; place from 1."""
+    hit = df.where(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(word.lower())))
+    number = F.regexp_replace(by, "[^0-9.]", "").try_cast("double")
+    order = [number.asc_nulls_last(), F.lower(by).asc_nulls_last(), F.col(tie)]
+    w = Window.orderBy(*order)
+    return hit.orderBy(*order).limit(size).withColumn("place", F.row_number().over(w))

@@ -57,3 +57,41 @@ def corrections(a: DataFrame, read: str, meant: str) -> DataFrame:
     from pricewright.functions.normalize import substitutions
 
     return a.select(F.explode(substitutions(F.col(read), F.col(meant))).alias("s")).groupBy("s.read", "s.meant").agg(F.count("*").alias("n"))
+
+
+def run_statistics(runs: DataFrame, states: dict[str, str], days: int = 30) -> DataFrame:
+    """One row: runs in all, by state, of the last days before the latest, success
+    in percent, mean seconds of the successful, and rows processed. runs:
+    (status, started_at, completed_at, rows_processed)."""
+    ok = F.col("status") == states["successful"]
+    seconds = F.unix_micros("completed_at") / 1e6 - F.unix_micros("started_at") / 1e6
+    since = runs.agg(F.max("started_at")).scalar() - F.expr(f"INTERVAL {days} DAYS")
+    d = runs.agg(
+        F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(n) for n, s in states.items()), F.count_if(F.col("started_at") >= since).alias("recent"),
+        F.round(F.avg(F.when(ok & (seconds > 0), seconds)), 6).alias("avg_seconds"), F.coalesce(F.sum("rows_processed"), F.lit(0)).alias("total_rows"),
+    )
+    return d.withColumn("success_rate", F.when(F.col("total") > 0, F.round(F.col("successful") / F.col("total") * 100, 6)).otherwise(0.0))
+
+
+def sheet_statistics(df: DataFrame, sheet: str, price: str = "base_price", active: str = "is_active") -> DataFrame:
+    """Rows of each sheet, mean, least and most of the prices other than zero, active and inactive rows."""
+    p = F.nullif(F.col(price), F.lit(0).cast(df.schema[price].dataType))
+    return df.groupBy(sheet).agg(F.count("*").alias("rows"), F.round(F.avg(p), 4).alias("mean_price"), F.min(p).alias("least"), F.max(p).alias("most"), F.count_if(active).alias("active"), F.count_if(~F.col(active)).alias("inactive"))
+
+
+def health(events: DataFrame, ts: str, is_error: Column, is_request: Column, minutes: int = 5, most: float = 0.05) -> DataFrame:
+    """One row on the minutes before the last event: errors, requests, their rate, and whether it is low."""
+    d = recent(events, ts, minutes).agg(F.count_if(is_error).alias("errors"), F.count_if(is_request).alias("requests"))
+    rate = F.when(F.col("requests") > 0, F.col("errors") / F.col("requests")).otherwise(0.0)
+    return d.select("errors", "requests", F.round(rate, 6).alias("error_rate"), (rate < most).alias("healthy"))
+
+
+def error_counts(counters: DataFrame) -> DataFrame:
+    """(kind, value, n): counters named errors_<name> by category, and counters
+    named http_status_<code> of client and server errors by code."""
+    from pricewright.functions.normalize import error_category
+
+    name = F.col("name")
+    a = counters.where(name.startswith("errors_")).select(F.lit("category").alias("kind"), error_category(F.expr("substring(name, 8)")).alias("value"))
+    b = counters.where(name.rlike("^http_status_[45]")).select(F.lit("status").alias("kind"), F.expr("substring(name, 13)").alias("value"))
+    return a.unionByName(b).groupBy("kind", "value").agg(F.count("*").alias("n"))
