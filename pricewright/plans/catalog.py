@@ -301,12 +301,6 @@ def tall_headers(spark: SparkSession, d: str) -> DataFrame:
     return grid.weld_headers(derived(spark, d, "tall_cells"))
 
 
-@query()
-def scanned_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Words put to lines; the fold has a line's head as its state."""
-    return grid.word_lines(derived(spark, d, "words"))
-
-
 @query(f"SELECT page, left_ AS start FROM (SELECT page, left_, lag(left_) OVER (PARTITION BY page ORDER BY left_) AS b FROM (SELECT DISTINCT page, left_ FROM {oracle('words')})) WHERE b IS NULL OR left_ - b >= 30")
 def scanned_columns(spark: SparkSession, d: str) -> DataFrame:
     return grid.column_starts(derived(spark, d, "words"))

@@ -44,7 +44,7 @@ UNION ALL SELECT 3, 20000000 + p_partkey, 'P_' || p_partkey, CASE WHEN p_partkey
     "golden_items": "SELECT 'P' || p_partkey AS k, cast(p_retailprice AS double) + CASE WHEN p_partkey % 13 = 0 THEN 9.0 ELSE 0.0 END AS base_price FROM {part} WHERE p_partkey % 10 <> 6 UNION ALL SELECT 'Q' || s_suppkey, 5.0 FROM {supplier}",
     # One text line per part, as catalogs print them.
     "lines": """
-SELECT p_partkey AS line_no, p_partkey % 50 AS page_number,
+SELECT p_partkey AS line_no, floor(p_partkey / 40) AS page_number,
   CASE WHEN p_partkey % 11 = 0 THEN 'Series BB' || p_partkey || ' - Full Mortise'
     WHEN p_partkey % 7 = 0 THEN upper(substr(p_type, 1, 2)) || p_partkey || ' US' || (p_partkey % 30) || ' 4.5x4.5 $' || cast(cast(p_retailprice AS decimal(10,2)) AS string)
     WHEN p_partkey % 5 = 0 THEN 'SL' || (p_partkey % 90 + 10) || ' CL HD' || (p_partkey % 9 + 1) || '00  ' || cast(cast(p_retailprice AS decimal(10,2)) AS string) || '  each'
@@ -140,10 +140,15 @@ FROM {part}""",
     "line_cells": """
 SELECT p_partkey AS row_id, CASE WHEN p_partkey % 3 = 0 THEN 'ETM-4 (4 wire)' || chr(10) || 'BB' || (1000 + p_partkey) || ' hinge' || chr(10) || 'plain' WHEN p_partkey % 3 = 1 THEN 'WT' || (1000 + p_partkey) || ' wide throw' ELSE 'Description' END AS description,
   CASE WHEN p_partkey % 3 = 0 THEN '12.50' || chr(10) || ' $' || p_size || chr(10) || '7' WHEN p_partkey % 6 = 1 THEN '1,200.75' ELSE 'nan' END AS price
+FROM {part}""",
+    # Pages with tables set with runs of blanks, ragged, between lines of prose.
+    "text_pages": """
+SELECT p_partkey AS page_id, 'Catalog ' || p_name || chr(10) || 'Model  Price  Size' || chr(10) || '  BB' || p_partkey || '   $' || p_size || '.50  4x4   note' || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'CTW' || chr(9) || '12.' || (p_partkey % 90 + 10) || chr(9) || 'US3' END
+  || chr(10) || 'one  two  three' || chr(10) || CASE WHEN p_partkey % 4 = 0 THEN 'A1  B2' ELSE 'A1  B2  C3  D4  E' || p_size END AS text
 FROM {part}""",
     # Words of a scanned page with their places.
     "words": """
-SELECT l_partkey % 500 AS page, l_orderkey * 10 + l_linenumber AS word_no, cast(l_orderkey * 7 % 60 * 12 + l_linenumber % 5 AS int) AS top_, cast(l_suppkey * 13 % 600 AS int) AS left_, l_returnflag || l_linenumber AS word, cast(l_quantity * 2 AS double) AS conf
+SELECT floor(l_orderkey / 15) AS page, l_orderkey * 10 + l_linenumber AS word_no, cast(l_orderkey * 7 % 60 * 12 + l_linenumber % 5 AS int) AS top_, cast(l_suppkey * 13 % 600 AS int) AS left_, l_returnflag || l_linenumber AS word, cast(l_quantity * 2 AS double) AS conf
 FROM {lineitem}""",
 }
 

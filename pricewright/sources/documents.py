@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricewright.functions.keys import is_blank
 from pricewright.runtime import arrow_map
 
 #: A hook: file content to (page number, text, method, confidence).
@@ -100,3 +101,80 @@ def best_method(candidates: DataFrame) -> DataFrame:
     """Of several extractions of a page the one whose tables score best."""
     best = F.max_by("extraction_method", F.struct("quality", "confidence", "extraction_method")).alias("extraction_method")
     return candidates.groupBy("path", "page_number").agg(best, F.max("quality").alias("quality"))
+
+
+def page_batches(documents: DataFrame, key: str, pages: str, size: int = 25) -> DataFrame:
+    """(key, batch, first_page, last_page): documents cut into ranges of pages, so
+    that a long one is read by several tasks at once."""
+    starts = F.sequence(F.lit(1), F.col(pages), F.lit(size))
+    d = documents.where(F.col(pages) >= 1).select(key, pages, F.posexplode(starts).alias("batch", "first_page"))
+    return d.select(key, "batch", "first_page", F.least(F.col("first_page") + size - 1, F.col(pages)).alias("last_page"))
+
+
+#: A hook for tables: file content, first and last page to (page, table, row, column, cell, accuracy, method).
+TableDecoder = Callable[[bytes, int, int], Iterable[tuple[int, int, int, int, str | None, float, str]]]
+
+CELLS = "path string, page_number int, table_index int, row_index int, col_index int, cell string, accuracy double, method string, error string"
+
+
+def read_tables(spark: SparkSession, path: str, pages: DataFrame, decoder: TableDecoder, glob: str = "*", batch: int = 25) -> DataFrame:
+    """Cells of the tables in all files under a path, each range of pages a task
+    of its own. pages: (path, page_count). A range that fails gives one row with
+    its error, the others are read all the same. Save the result as a table to
+    read it more than once."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            rows: list[tuple] = []
+            for p, content, first, last in zip(*(b.column(c).to_pylist() for c in ("path", "content", "first_page", "last_page"))):
+                try:
+                    rows += [(p, *r, None) for r in decoder(content, first, last)]
+                except Exception as e:  # a bad range must not end the job
+                    rows.append((p, first, None, None, None, None, 0.0, "failed", str(e)[:500]))
+            cols = list(zip(*rows)) or [()] * 9
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split(" ")[0] for c in CELLS.split(", ")])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    work = page_batches(pages, "path", "page_count", batch).join(files, "path").repartition("path", "batch")
+    return arrow_map(work, run, CELLS)
+
+
+def priced_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, row_no, col_index, cell): lines of a scanned text that hold a price,
+    cut at runs of blanks; lines of fewer than three parts are left out."""
+    line = F.posexplode(F.split(text, "\n")).alias("pos", "line")
+    parts = F.filter(F.split(F.trim("line"), r"\s{2,}|\t"), lambda x: x != "")
+    d = texts.select(key, line).where(F.col("line").rlike(r"\d+\.\d+|\$\d+")).select(key, F.col("pos").alias("row_no"), parts.alias("parts")).where(F.size("parts") > 2)
+    return d.select(key, "row_no", F.posexplode("parts").alias("col_index", "cell"))
+
+
+def trusted_tables(tables: DataFrame, order: list[str], least: float = 0.7) -> DataFrame:
+    """Tables of several readers put together: those of the first readers that are
+    accurate enough; of the readers from `fallback` on only where a page has none
+    of an earlier one. tables: (doc_id, page, method, accuracy, ...); order names
+    the readers, a leading ? marks a fallback."""
+    rank = {m.lstrip("?"): i for i, m in enumerate(order)}
+    level, out = 0, {}
+    for m in order:
+        level += m.startswith("?")
+        out[m.lstrip("?")] = level
+    of = F.create_map(*(F.lit(x) for kv in out.items() for x in kv))
+    d = tables.where(F.col("method").isin(*rank) & (F.col("accuracy") > least)).withColumn("_level", F.element_at(of, F.col("method")))
+    first = d.groupBy("doc_id", "page").agg(F.min("_level").alias("_first"))
+    return d.join(first, ["doc_id", "page"]).where(F.col("_level") == F.col("_first")).drop("_level", "_first")
+
+
+def proxy_confidence(cells: DataFrame) -> DataFrame:
+    """(table_id, by_size, by_filling): how far a table can be trusted whose reader
+    doesn't say: by its size, and by its share of filled cells."""
+    g = cells.groupBy("table_id").agg(F.count_distinct("row_index").alias("r"), F.count_distinct("col_index").alias("c"), F.count("*").alias("n"), F.count_if(~is_blank(F.col("cell"))).alias("f"))
+    return g.select("table_id", F.round(F.least(F.lit(0.95), 0.5 + F.col("r") * F.col("c") / 100), 6).alias("by_size"), F.round(F.col("f") / F.col("n") * 0.85, 6).alias("by_filling"))
+
+
+def page_texts(pages: DataFrame, key: str, page: str, text: str, first: int = 1, last: int | None = None) -> DataFrame:
+    """(key, text): the pages of a range as one text, each under its number."""
+    p = pages.where(F.col(page) >= first) if last is None else pages.where(F.col(page).between(first, last))
+    parts = F.array_sort(F.collect_list(F.struct(page, F.coalesce(text, F.lit("")).alias("t"))))
+    return p.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: F.concat(F.format_string("--- PAGE %d ---\n", x[page]), x["t"])), "\n\n").alias("text"))
