@@ -146,9 +146,11 @@ def snapshot_changes(
     snapshots. Null differs from any value, not from null. The first snapshot
     and an empty table give no rows; extra columns are ignored."""
     rows = latest_in_snapshot(df.select(day, key, loaded, *values), day, key, loaded, values)
-    placed = with_ordinals(rows, known, buckets)
+    # Read for the words, the dictionary and the days; kept, so that neither the
+    # input nor its aggregation is read again.
+    placed = cut(with_ordinals(rows, known, buckets))
     words = encode(placed, values)
-    days = _ordered(df.where(F.col(day).isNotNull()).select(F.col(day).alias("day")).distinct())
+    days = _ordered(placed.select("day").distinct())
     found = compare(words, days, values)
     return found.join(dictionary(placed, known), ["bucket", "ordinal"]).select("day", "key", "change")
 
