@@ -150,24 +150,25 @@ def candidates(listings: DataFrame, products: DataFrame) -> DataFrame:
     for k in KINDS:
         has = has | F.col("o_text").rlike(rf"\b{k}")
     kind = F.when(F.col("kind").isNull(), ABSTAIN).when(F.contains(F.concat(F.lit(" "), "o_text"), F.concat(F.lit(" "), "kind")), MATCH).when(has, AGAINST).otherwise(ABSTAIN)
-    prefix, finish = vote(F.col("o_prefix"), F.col("prefix")), vote(F.col("o_finish"), F.col("finish"))
-    # A listing that leaves the size out means that of the nearest price. Its
-    # candidates, a model's skus, are few.
-    p = p.withColumn("_off", F.when(F.col("o_size").isNull() & (prefix != AGAINST) & (finish != AGAINST), off))
-    p = p.withColumn("_nearest", F.min("_off").over(Window.partitionBy("listing_id")))
-    size = F.when(F.col("o_size").isNull() & F.col("_nearest").isNotNull(), F.when(F.col("_off") <= F.col("_nearest"), MATCH).otherwise(AGAINST)).otherwise(vote(F.col("o_size"), F.col("size")))
     votes = {
-        "prefix": prefix,
+        "prefix": vote(F.col("o_prefix"), F.col("prefix")),
         "digits": F.when(F.col("read") == F.col("key"), MATCH).otherwise(ABSTAIN),
-        "size": size,
-        "finish": finish,
+        "finish": vote(F.col("o_finish"), F.col("finish")),
         "weight": vote(F.col("o_weight"), F.col("weight")),
         "type": kind,
         "price": F.when(off.isNull(), ABSTAIN).when(off <= 0.04, MATCH).when(off > 0.2, AGAINST).otherwise(ABSTAIN),
         "goods": F.col("v_goods"),
     }
-    pattern = F.concat(*(votes[f].cast("string") for f in FUNCTIONS))
-    return p.select("listing_id", "sku", pattern.alias("votes"), off.alias("off"))
+    # Texts end here: what follows carries votes and numbers only.
+    p = p.select("listing_id", "sku", off.alias("off"), "o_size", "size", *(v.alias(f"v_{f}") for f, v in votes.items() if f != "goods"), "v_goods")
+    # A listing that leaves the size out means that of the nearest price. Its
+    # candidates, a model's skus, are few.
+    open_ = F.col("o_size").isNull() & (F.col("v_prefix") != AGAINST) & (F.col("v_finish") != AGAINST)
+    p = p.withColumn("_off", F.when(open_, F.col("off")))
+    p = p.withColumn("_nearest", F.min("_off").over(Window.partitionBy("listing_id")))
+    nearest = F.when(F.col("_off") <= F.col("_nearest"), MATCH).otherwise(AGAINST)
+    p = p.withColumn("v_size", F.when(F.col("o_size").isNull() & F.col("_nearest").isNotNull(), nearest).otherwise(vote(F.col("o_size"), F.col("size"))))
+    return p.select("listing_id", "sku", F.concat(*(F.col(f"v_{f}").cast("string") for f in FUNCTIONS)).alias("votes"), "off")
 
 
 Votes = tuple[int, ...]
