@@ -249,6 +249,14 @@ def winners(columns: list[dict[str, float]]) -> list[str]:
     return [t for t in best if t]
 
 
+def majority(weights: dict[tuple[str, ...], int]) -> tuple[str, ...] | None:
+    """The sequence that weighs more than all others together, if there is one.
+    It wins every column it has a token in, and every other as a gap, however the
+    rest is aligned, so it is the consensus and no alignment is needed."""
+    best = max(weights, key=weights.__getitem__)
+    return best if 2 * weights[best] > sum(weights.values()) else None
+
+
 def profile(sequences: list[tuple[tuple[str, ...], float]]) -> tuple[list[str], float]:
     """Consensus tokens of weighted token sequences, and their total weight."""
     columns, done = aligned(sequences)
@@ -336,7 +344,9 @@ def _choose(batches: Iterator) -> Iterator:
             seqs: dict[tuple[str, ...], int] = defaultdict(int)
             for t, w in zip(tokens, ws):
                 seqs[t] += round(w * 1e6)
-            agreed = winners(aligned(list(seqs.items()))[0]) if len(seqs) > 1 else tokens[0]
+            agreed = majority(seqs)
+            if agreed is None:
+                agreed = winners(aligned(list(seqs.items()))[0])
             chosen.append(min((distance(t, agreed), -w, v) for t, w, v in zip(tokens, ws, values))[2])
         yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("field"), pa.array(chosen, pa.string())], names=["grp", "field", "value"])
 

@@ -148,3 +148,17 @@ def test_misread_skus_are_outvoted_and_agreement_is_counted(spark):
     assert (got.export_id, got.sku, got.description) == (1, "MH1000US3", "Hinge")
     said = {r.export_id: (r.verdict, r.agrees) for r in survivor.verdicts(rows(spark, data)).collect()}
     assert said == {1: ("keep", 5), 2: ("drop", 6), 3: ("drop", 4), 4: ("drop", 5)}
+
+
+def test_a_majority_is_what_alignment_finds():
+    r = random.Random(8)
+    met = 0
+    for _ in range(400):
+        seqs = {}
+        for _ in range(r.randrange(2, 5)):
+            seqs[tuple(r.choice("abcd") for _ in range(r.randrange(7)))] = r.randrange(1, 30)
+        best = survivor.majority(seqs)
+        if best is not None:
+            met += 1
+            assert tuple(survivor.winners(survivor.aligned(list(seqs.items()))[0])) == best
+    assert met > 50
