@@ -31,18 +31,19 @@ from pricewright.runtime import arrow_map, spread
 #: Items compiled at once, whatever there are.
 ITEMS_PER_BLOCK = 20_000
 
-def _mark_ranges() -> Iterator[tuple[int, int]]:
+
+@lru_cache(maxsize=1)
+def _mark_ranges() -> tuple[tuple[int, int], ...]:
     """Runs of characters of the categories Mn, Mc and Me."""
-    for mark, run in groupby(range(sys.maxunicode + 1), lambda c: unicodedata.category(chr(c))[0] == "M"):
-        if mark:
-            r = list(run)
-            yield r[0], r[-1]
+    runs = [list(run) for mark, run in groupby(range(sys.maxunicode + 1), lambda c: unicodedata.category(chr(c))[0] == "M") if mark]
+    return tuple((r[0], r[-1]) for r in runs)
 
 
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff]")
 # Combining marks belong to the word they stand in (vowel signs, harakat, tone
 # marks); without them a Devanagari or Thai word would fall into syllables.
 _MARKS = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in _mark_ranges())
+_HAS_NONE = frozenset(chr(c) for a, b in _mark_ranges() for c in range(a, b + 1)).isdisjoint
 _MARKED = re.compile(rf"[㐀-䶿一-鿿豈-﫿]|(?:[^\W_㐀-䶿一-鿿豈-﫿]++|[{_MARKS}])+")
 _WORDS = re.compile(r"[㐀-䶿一-鿿豈-﫿]|[^\W_㐀-䶿一-鿿豈-﫿]+")
 _HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
@@ -52,8 +53,8 @@ def words_of(text: str) -> list[str]:
     """The words of a text in comparison form; Chinese characters are words."""
     if text.isascii():
         return _WORDS.findall(text.casefold())
-    text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)).casefold())
-    return _MARKED.findall(text)
+    text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)).casefold()
+    return (_WORDS if _HAS_NONE(text) else _MARKED).findall(text)
 
 
 class WuManber:
