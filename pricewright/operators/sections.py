@@ -20,6 +20,8 @@ SELECT_FINISHES = {"CL": ("Clear Anodized", "628"), "BR": ("Dark Bronze", "710")
 NO_PRICE = ["mm", "bevel", "edge", "square", "clearance", "min", "web", "metric", "brochure", "site"]
 # Lengths that are taken for prices where columns slip.
 LENGTHS = ["79", "83", "85", "95", "120"]
+#: The columns of a grid; others are ignored.
+_GRID = ("table_id", "row_index", "col_index", "cell")
 DASHES = ["-", "—", "–", "", "n/a", "N/A"]
 
 # Patterns of options with a net adder, tried in this order; the
@@ -107,7 +109,7 @@ def described_rows(cells: DataFrame) -> DataFrame:
     """(table_id, row_index, base_model, finish, duty): of each row the
     descriptor in it, the leftmost, or the last one above that still holds: on
     rows with a price that name no other model."""
-    d = cells.withColumns({"_d": descriptor(F.col("cell")), "_p": cell_price(F.col("cell"))})
+    d = cells.select(*_GRID, descriptor(F.col("cell")).alias("_d"), cell_price(F.col("cell")).alias("_p"))
     named = F.when(F.length(F.trim("cell")) >= 3, F.col("_d"))
     other = F.regexp_extract(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_index", "cell"))), lambda c: c["cell"]), " "), r"(?i)SL\s*(\d{2,3})", 1)
     rows = d.groupBy("table_id", "row_index").agg(F.min_by(named, F.when(named.isNotNull(), F.col("col_index"))).alias("own"), F.count("_p").alias("priced"), other.alias("other"))
@@ -130,7 +132,7 @@ def priced_by_length(cells: DataFrame, headers: DataFrame) -> DataFrame:
     length, the last counts. Dashes and blanks are sizes that aren't made."""
     lengths = length_columns(headers).groupBy("table_id", "length").agg(F.max("col_index").alias("col_index"))
     rows = described_rows(cells)
-    p = cells.join(lengths, ["table_id", "col_index"]).withColumn("base_price", cell_price(F.col("cell")))
+    p = cells.select(*_GRID).join(lengths, ["table_id", "col_index"]).withColumn("base_price", cell_price(F.col("cell")))
     p = p.where(_kept(F.col("base_price"), F.col("length"), F.col("cell")))
     return p.join(rows, ["table_id", "row_index"]).select("table_id", "row_index", "base_model", "finish", "duty", "length", "base_price")
 
@@ -170,7 +172,7 @@ def cell_skus(cells: DataFrame) -> DataFrame:
     rx = r"(?i)(SL\s*\d{2})(?:\s*([A-Z]{2}))?(?:\s*(HD\d+|LD\d+|LL|\d{2,3}\"?))?"
     w = Window.partitionBy("table_id", "row_index").orderBy("col_index")
     near = lambda k: F.trim(F.lead("cell", k).over(w) if k > 0 else F.lag("cell", -k).over(w))
-    d = cells.withColumns({f"n{i}": near(k) for i, k in enumerate((-1, 1, 2, -2))})
+    d = cells.select(*_GRID).withColumns({f"n{i}": near(k) for i, k in enumerate((-1, 1, 2, -2))})
     d = d.where(F.col("cell").rlike(rx) & ~is_blank(F.col("cell")))
     got = lambda k: F.nullif(F.regexp_extract("cell", rx, k), F.lit(""))
     named = lambda c: F.when(F.upper(c).isin(*SELECT_FINISHES), F.upper(c))
