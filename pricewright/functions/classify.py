@@ -52,9 +52,9 @@ def density(text: Column) -> Column:
     return F.when(F.length(text) == 0, 0.0).otherwise(words / F.size(F.split(text, "\n")))
 
 
-# What a scan's words are read as, in the order of the rules.
+# What a scan's words are read as, in the order of the rules; $1 is a pattern's first group.
 SCAN_RULES = [
-    (r"\b0(?=\w)", "O"), (r"(?<=\w)0\b", "O"), (r"\b1(?=\w)", "I"), ("rn", "m"), ("vv", "w"), (r"\|", "I"), (r"\$\s+(?=\d)", r"\$"), (r"(?<=\d)\s+(?=\.\d{2})", ""), (r"(?<=[A-Z])\s+(?=\d)", ""),
+    (r"\b0(?=\w)", "O"), (r"(?<=\w)0\b", "O"), (r"\b1(?=\w)", "I"), ("rn", "m"), ("vv", "w"), (r"\|", "I"), (r"\$(\s+)(\d)", r"\$$2"), (r"(\d)\s+\.(\d{2})", "$1.$2"), (r"([A-Z]+)(\s+)(\d+)", "$1$3"),
 ]
 
 

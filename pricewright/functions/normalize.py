@@ -28,7 +28,11 @@ GENERAL_SKU = "^([A-Z0-9-]{3,20})$"
 # Date notations.
 DATE_FORMATS = ["MMMM d, yyyy", "MMMM d yyyy", "MMM d, yyyy", "M/d/yyyy", "M-d-yyyy", "M/d/yy", "yyyy-MM-dd", "d MMMM yyyy"]
 
-# Marks that scans and broken encodings leave.
+# Forms of prices, and those of prices in text without blanks, in this order.
+PRICE_FORMS = [r"^\$?([0-9,]+\.?[0-9]*)$", r"^([0-9,]+\.?[0-9]*)\s*\$?$", r"([0-9,]+\.?[0-9]*)"]
+PACKED_PRICES = [r"\$(\d+[,\d]*\.?\d{0,2})", r"(\d+[,\d]*\.\d{2})USD", r"Price:\$?(\d+[,\d]*\.?\d{2})", r"(\d+[,\d]*\.\d{2})"]
+
+# Fixed value: marks that scans and broken encodings leave.
 DEBRIS = "[�|]|\\\\x00"
 
 
@@ -40,7 +44,7 @@ def price(c: Column) -> Column:
     """A price as decimal: a whole text that is one, else its first number.
     Commas fall away, so does a sign; nothing numeric gives null."""
     t = F.trim(c.cast("string"))
-    number = F.coalesce(_got(t, r"^\$?([0-9,]+\.?[0-9]*)$"), _got(t, r"^([0-9,]+\.?[0-9]*)\s*\$?$"), _got(t, r"([0-9,]+\.?[0-9]*)"))
+    number = F.coalesce(*(_got(t, p) for p in PRICE_FORMS))
     return F.replace(number, F.lit(","), F.lit("")).try_cast("decimal(18,4)")
 
 
@@ -53,9 +57,8 @@ def price_packed(c: Column) -> Column:
     """A price out of text with stray blanks: dollars, USD, two decimals, or a
     lone number from 5 on; null beyond 100,000."""
     t = F.regexp_replace(c, r"\s+", "")
-    tries = [r"\$(\d+[,\d]*\.?\d{0,2})", r"(\d+[,\d]*\.\d{2})USD", r"Price:\$?(\d+[,\d]*\.?\d{2})", r"(\d+[,\d]*\.\d{2})"]
     found = []
-    for p in tries:
+    for p in PACKED_PRICES:
         v = F.replace(F.regexp_extract(t, p, 1), F.lit(","), F.lit("")).try_cast("double")
         found.append(F.when(v.between(0.01, 100000), v))
     lone = F.regexp_extract(t, r"(?<![A-Za-z])(\d{1,6}(?:\.\d{1,2})?)(?![A-Za-z])", 1).try_cast("double")
@@ -241,14 +244,26 @@ def maker_in(text: Column) -> Column:
     return F.coalesce(*(F.when(F.contains(low, F.lit(m)), m) for m in MAKERS), F.lit("unknown"))
 
 
+# How cells that hold a sku or a price look.
+SKU_LOOKS = [r"^BB\d+", r"^BBH\d+", r"^[A-Z]{2,3}\d+", r"^[A-Z]+\d+[A-Z]*"]
+PRICE_LOOKS = [r"^\$?\d+\.?\d*$", r"^\$?\d{1,3}(,\d{3})*(\.\d{1,2})?$", r"^\d+\.\d{2}$"]
+
+
+def _one_of(c: Column, patterns: list[str]) -> Column:
+    out = F.lit(False)
+    for p in patterns:
+        out = out | c.rlike(p)
+    return F.coalesce(out, F.lit(False))
+
+
 def looks_like_sku(c: Column) -> Column:
     """Whether a cell looks like a sku: capitals, then digits."""
-    return F.coalesce((F.length(c) >= 3) & F.upper(c).rlike(r"^BB\d+|^BBH\d+|^[A-Z]{2,3}\d+|^[A-Z]+\d+[A-Z]*"), F.lit(False))
+    return F.coalesce(F.length(c) >= 3, F.lit(False)) & _one_of(F.upper(c), SKU_LOOKS)
 
 
 def looks_like_price(c: Column) -> Column:
     """Whether a cell looks like a price."""
-    return F.coalesce(c.rlike(r"^\$?\d+\.?\d*$|^\$?\d{1,3}(,\d{3})*(\.\d{1,2})?$"), F.lit(False))
+    return _one_of(c, PRICE_LOOKS)
 
 
 def model_of(sku: Column) -> Column:
@@ -263,8 +278,8 @@ def finish_in(sku: Column) -> Column:
 
 
 # Sizes and finishes as lines name them, in this order.
-SIZES = [r"(\d+\.?\d*\s*x\s*\d+\.?\d*)", r"(\d+\"\s*x\s*\d+\")", r"(\d+\.?\d*)\s*(?:in|inch|mm|cm)"]
-FINISH_WORDS = [r"\bUS\s*\d+[A-Z]?\b", r"\b[A-Z]{2,3}\b", r"\bBHMA\s*\d+[A-Z]?\b"]
+SIZES = [r"(\d+\.?\d*\s*x\s*\d+\.?\d*)", r"(\d+\"\s*x\s*\d+\")", r"(\d+\.?\d*)\s*(in|inch|mm|cm)"]
+FINISH_WORDS = [r"\bUS\s*\d+[A-Z]?\b", r"\b([A-Z]{2,3})\b", r"\b(BHMA\s*\d+[A-Z]?)\b"]
 
 
 def size_in(text: Column) -> Column:

@@ -14,6 +14,8 @@ LAYERS = {"layer1_text": 0.85, "layer2_camelot": 0.90, "layer3_paddleocr": 0.95,
 THRESHOLDS = {"sku": 0.85, "base_price": 0.80, "description": 0.70, "model": 0.75, "finish": 0.70, "option_code": 0.75}
 # Sku patterns that makers' catalogs have in common.
 COMMON_SKUS = [r"^[A-Z]{2,4}[-\s]?\d{3,}", r"^\d{4,8}[A-Z]{0,3}$", r"^[A-Z]\d{4,}", r"^[A-Z]{2,}\d+[A-Z\d]*", r"^\d{3,}[-A-Z0-9]+$"]
+# How the skus of two makers begin.
+OWN_SKUS = {"hager": [r"^[A-Z]{2,4}[0-9]{2,6}"], "select_hinges": [r"^SL[0-9]{2}", r"^[A-Z]{2,3}[0-9-]+"]}
 # Strong and middling forms of skus.
 STRONG_SKUS = [r"^[A-Z]{2,}\d{2,}$", r"^[A-Z]{2,}\d{2,}-[A-Z\d]+$", r"^\d{4,}-[A-Z\d]+$"]
 MIDDLING_SKUS = [r"^[A-Z\d-]{4,}$", r"^[A-Z]{1}\d{3,}$"]
@@ -73,9 +75,9 @@ def sku_score(sku: Column, maker: str | None = None) -> Column:
     t = F.upper(F.trim(sku))
     n = F.length(t)
     score = F.when(t.rlike("^[A-Z0-9-]{2,20}$"), 0.5).otherwise(-0.3) + F.when(n.between(3, 15), 0.2).when(n > 15, -0.1).otherwise(-0.2)
-    own = {"hager": "^[A-Z]{2,4}[0-9]{2,6}", "select_hinges": "^SL[0-9]{2}|^[A-Z]{2,3}[0-9-]+"}.get((maker or "").lower())
+    own = OWN_SKUS.get((maker or "").lower())
     if own:
-        score = score + F.when(t.rlike(own), 0.2).otherwise(0.0)
+        score = score + F.when(_any(t, own), 0.2).otherwise(0.0)
     return F.when(F.coalesce(sku, F.lit("")) == "", 0.0).otherwise(clamp(score))
 
 

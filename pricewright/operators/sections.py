@@ -25,7 +25,7 @@ _GRID = ("table_id", "row_index", "col_index", "cell")
 DASHES = ["-", "—", "–", "", "n/a", "N/A"]
 
 # Patterns of options with a net adder, tried in this order; the
-# named groups are size and price.
+# named groups, which Java writes (?<name>...), are size and price.
 NET_ADDERS = [
     ("CTW", r"CTW[-\s]*(?<size>\d+)\s*(?:net\s+add\s+(?:per\s+)?CTW[-\s]*\d+)?\s*(?:[:=]|-)?\s*\$?(?<price>\d+(?:\.\d{2})?)"),
     ("CTW", r"\$?(?<price>\d+(?:\.\d{2})?)\s+net\s+add\s+(?:per\s+)?CTW[-\s]*(?<size>\d+)"),
@@ -140,7 +140,7 @@ def priced_by_length(cells: DataFrame, headers: DataFrame) -> DataFrame:
 def priced_by_line(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """The same of tables that pack lengths and prices into lines of one cell:
     the first header's distinct lengths, in order, meet the row's prices, in order."""
-    every = F.regexp_extract_all("header", F.lit(r"(\d+)\s*[\"']?\s*(?:/\s*\d+\s*[\"']?)?"), F.lit(1))
+    every = F.regexp_extract_all("header", F.lit(r"(\d+)\s*[\"']?\s*(?:/\s*(\d+)\s*[\"']?)?"), F.lit(1))
     lengths = headers.where("col_index = 0").select("table_id", F.array_distinct(every).alias("lengths"))
     packed = F.flatten(F.transform(F.array_sort(F.collect_list(F.when((F.col("col_index") > 0) & ~is_blank(F.col("cell")), F.struct("col_index", "cell")))), lambda c: F.transform(F.split(F.trim(c["cell"]), "\n"), lambda x: F.trim(x))))
     prices = cells.groupBy("table_id", "row_index").agg(packed.alias("prices"))

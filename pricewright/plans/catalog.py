@@ -462,8 +462,15 @@ def learned_keywords(spark: SparkSession, d: str) -> DataFrame:
     return w.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("id").alias("products"))
 
 
-@query()
+#: The scan rules for an engine without lookarounds: neighbours are put back.
+_SCAN = [(r"\b0(\w)", r"O\1"), (r"(\w)0\b", r"\1O"), (r"\b1(\w)", r"I\1"), ("rn", "m"), ("vv", "w"), (r"\|", "I"), (r"\$(\s+)(\d)", r"$\2"), (r"(\d)\s+\.(\d{2})", r"\1.\2"), (r"([A-Z]+)(\s+)(\d+)", r"\1\3")]
+_SCANNED = "SELECT export_id, description AS t, cast(coalesce(confidence, 0) AS DOUBLE) AS c FROM sample_products_export WHERE description IS NOT NULL"
+for _find, _put in _SCAN:
+    _SCANNED = f"SELECT export_id, n AS t, CASE WHEN n <> t THEN c * 0.9 ELSE c END AS c FROM (SELECT *, regexp_replace(t, '{_find}', '{_put}', 'g') AS n FROM ({_SCANNED}))"
+
+
+@query(f"SELECT export_id, t AS text, round(c, 6) AS confidence FROM ({_SCANNED})")
 def scan_fixes(spark: SparkSession, d: str) -> DataFrame:
-    """Words of extracted descriptions after the scan rules, which look around."""
+    """Extracted descriptions after the scan rules."""
     e = table(spark, d, "sample_products_export").where("description is not null")
     return e.select("export_id", classify.scan_fixes(F.col("description"), F.coalesce("confidence", F.lit(0.0))).alias("x")).select("export_id", "x.text", F.round("x.confidence", 6).alias("confidence"))

@@ -85,3 +85,10 @@ def test_scorers(spark, score, text, want):
 @pytest.mark.parametrize("sku,ok", [("BB1100", True), ("MARCH 9", False), ("2020", False), ("AB", False), (None, False), ("--- ", False), ("price", False), ("x" * 31, False), ("A-1", True)])
 def test_valid_skus(spark, sku, ok):
     assert one(spark, scoring.valid_sku, sku) is ok
+
+
+@pytest.mark.parametrize("text,want", [("0ak d0or", "Oak d0or"), ("1ron barn", "Iron bam"), ("$  45 .50", "$45.50"), ("BB 1100", "BB1100"), ("a|b", "aIb"), ("plain", "plain"), ("", ""), (None, None)])
+def test_scan_fixes(spark, text, want):
+    from pricewright.functions import classify
+
+    assert one(spark, lambda c: classify.scan_fixes(c, F.lit(1.0))["text"], text) == want
