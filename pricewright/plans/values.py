@@ -135,7 +135,8 @@ def error_counts(spark: SparkSession, d: str) -> DataFrame:
     return metrics.error_counts(table(spark, d, "events").select(names.alias("name")))
 
 
-@query("SELECT page, n AS total, ceil(n / 50.0) AS total_pages, page < ceil(n / 50.0) AS has_next, page > 1 AS has_previous, ids FROM (SELECT floor((k - 1) / 50) + 1 AS page, n, string_agg(id, ',' ORDER BY k) AS ids FROM (SELECT id, count(*) OVER () AS n, row_number() OVER (ORDER BY effective_date DESC NULLS LAST, upload_date DESC NULLS LAST, id) AS k FROM (SELECT DISTINCT id, effective_date, upload_date FROM price_books)) WHERE k BETWEEN 51 AND 100 GROUP BY 1, 2)")
+@query("""WITH b AS (SELECT id, row_number() OVER (ORDER BY effective_date DESC NULLS LAST, upload_date DESC NULLS LAST, id) AS k FROM (SELECT DISTINCT id, effective_date, upload_date FROM price_books))
+SELECT 2 AS page, count(*) AS total, ceil(count(*) / 50.0) AS total_pages, 2 < ceil(count(*) / 50.0) AS has_next, true AS has_previous, coalesce(string_agg(id, ',' ORDER BY k) FILTER (k BETWEEN 51 AND 100), '') AS ids FROM b""")
 def books_page(spark: SparkSession, d: str) -> DataFrame:
     """A page of books, newest first, undated last, with its envelope."""
     b = table(spark, d, "price_books").select("id", "effective_date", "upload_date").distinct()
