@@ -154,7 +154,8 @@ def fuzzy_pairs(old: DataFrame, new: DataFrame, threshold: float = 70.0, top: in
     least the threshold. Texts that occur more than once on the new side stand
     for their last row."""
     n = last_by(new.withColumn("_t", F.concat_ws("\u0001", "block", "search")), "_t", "pos").drop("_t")
-    p = nearest(old, n, "block", {"search": 1.0}, top, threshold)
+    # Places and scores alone, at most `top` per old row, read twice by the assignment.
+    p = cut(nearest(old, n, "block", {"search": 1.0}, top, threshold))
     p = p.join(old.select(F.col("pos").alias("op"), F.struct(*old.columns).alias("o")), "op").join(n.select(F.col("pos").alias("np"), F.struct(*new.columns).alias("n")), "np")
     return p.where(plausible(F.col("o.model"), F.col("n.model"))).select("o", "n", "score", "rank")
 
