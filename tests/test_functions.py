@@ -87,8 +87,22 @@ def test_valid_skus(spark, sku, ok):
     assert one(spark, scoring.valid_sku, sku) is ok
 
 
-@pytest.mark.parametrize("text,want", [("0ak d0or", "Oak d0or"), ("1ron barn", "Iron bam"), ("$  45 .50", "$45.50"), ("BB 1100", "BB1100"), ("a|b", "aIb"), ("plain", "plain"), ("", ""), (None, None)])
-def test_scan_fixes(spark, text, want):
+@pytest.mark.parametrize("text", ["0ak d0or", "1ron barn", "$  45 .55", "$  45 .50", "BB 2345", "BB 1100", "a|b", "plain", "", "00 x0 100"])
+def test_scan_fixes(spark, text):
+    """The rules, one after the other, as Python's own expressions apply them."""
+    import re
+
     from pricewright.functions import classify
 
+    want = text
+    for find, put in classify.SCAN_RULES:
+        want = re.sub(find, re.sub(r"\$(\d)", r"\\\1", put.replace(r"\$", "\0")).replace("\0", "$"), want)
     assert one(spark, lambda c: classify.scan_fixes(c, F.lit(1.0))["text"], text) == want
+    assert one(spark, lambda c: classify.scan_fixes(c, F.lit(1.0))["text"], None) is None
+
+
+def test_scan_fixes_known_values(spark):
+    from pricewright.functions import classify
+
+    got = [one(spark, lambda c: classify.scan_fixes(c, F.lit(1.0))["text"], t) for t in ("0ak d0or", "1ron barn", "$  45 .55", "BB 2345", "a|b")]
+    assert got == ["Oak d0or", "Iron bam", "$45.55", "BB2345", "aIb"]
