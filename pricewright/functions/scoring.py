@@ -32,6 +32,15 @@ def clamp(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
+def rounded(c: Column, digits: int = 6) -> Column:
+    """To so many digits as the SQL's engine does it: the double times a power of
+    ten to the nearest whole number, halves away from zero. Spark's own round
+    goes by the decimal digits, so 0.5040625, times 1e6 504062.49999999994, goes
+    up there and down here. What the power takes beyond all doubles stays as it is."""
+    x = F.round(c * 10.0**digits) / 10.0**digits
+    return F.when(F.abs(x) < float("inf"), x).otherwise(c)
+
+
 def _of(table: dict[str, float], key: Column, other: float) -> Column:
     m = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
     return F.coalesce(F.try_element_at(m, key), F.lit(other))

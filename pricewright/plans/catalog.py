@@ -309,7 +309,7 @@ def scanned_columns(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT page, count(*) AS words, round(avg(conf) / 100, 6) AS confidence FROM {oracle('words')} WHERE trim(word) <> '' AND conf > 0 GROUP BY 1")
 def scanned_confidence(spark: SparkSession, d: str) -> DataFrame:
     w = derived(spark, d, "words").where("trim(word) <> '' and conf > 0")
-    return w.groupBy("page").agg(F.count("*").alias("words"), F.round(F.avg("conf") / 100, 6).alias("confidence"))
+    return w.groupBy("page").agg(F.count("*").alias("words"), scoring.rounded(F.avg("conf") / 100).alias("confidence"))
 
 
 # --- normalisers -------------------------------------------------------------

@@ -1,9 +1,11 @@
 from datetime import date
 from decimal import Decimal as D
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from pricewright.functions import keys, normalize, scoring
 
 
@@ -106,3 +108,24 @@ def test_scan_fixes_known_values(spark):
 
     got = [one(spark, lambda c: classify.scan_fixes(c, F.lit(1.0))["text"], t) for t in ("0ak d0or", "1ron barn", "$  45 .55", "BB 2345", "a|b")]
     assert got == ["Oak d0or", "Iron bam", "$45.55", "BB2345", "aIb"]
+
+
+def test_rounding_as_the_sql_does(spark):
+    # Halves that the product by the power of ten misses, meets, or overshoots; what is near them; what is beyond.
+    halves = [n / 3200 for n in range(1, 3200)] + [x + s * 1e-12 for x in (0.5040625, 0.5046875) for s in (-1, 1)]
+    values = [*halves, 0.0, 1.0, 1e300, 1e305, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = dict(df.select("i", scoring.rounded(F.col("v"))).collect())
+    want = dict(duckdb.execute("SELECT i - 1, round(v[i], 6) FROM (SELECT ?::DOUBLE[] AS v), range(1, ? + 1) t(i)", [values, len(values)]).fetchall())
+    assert {i: repr(x) for i, x in got.items()} == {i: repr(x) for i, x in want.items()}
+    assert got[halves.index(0.5040625)] == 0.504062
+
+
+def test_scanned_confidence_to_the_last_digit(spark, tmp_path):
+    # A page of 64 words of 3,226 together: a mean of 0.5040625, which the SQL rounds down.
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i % 15 + i // 64 * 15 AS l_orderkey, i // 15 + 1 AS l_linenumber, i AS l_suppkey, 'N' AS l_returnflag, CASE WHEN i < 13 THEN 26.0 ELSE 25.0 END::DOUBLE AS l_quantity FROM range(100) r(i)) TO '{tmp_path}/lineitem.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    got = {tuple(r) for r in entry.queries()["scanned_confidence"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(entry.oracle_sql()["scanned_confidence"]).fetchall())
+    assert (0, 64, 0.504062) in got
